@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.scalar import clip, col, number
+from wardline.functions.scalar import clip, col, number, python_round
 from wardline.schema import ATTACKS, CLASS_ACTIONS, COMMON_ACTIONS, ESCALATION, RISK_WEIGHTS
 
 
@@ -59,7 +59,7 @@ def bounded_risk(*parts, weights: dict | None = None) -> Column:
 
 def risk_composition(*parts, weights: dict | None = None) -> Column:
     """Contributions rounded half to even, two places."""
-    return F.struct(*[F.bround(v, 2).alias(k) for k, v in risk_parts(*parts, weights=weights).items()])
+    return F.struct(*[python_round(v, 2).alias(k) for k, v in risk_parts(*parts, weights=weights).items()])
 
 
 def severity(risk, priority: float = 70.0) -> Column:

@@ -122,3 +122,20 @@ def partition_number(entity, partitions: int) -> Column:
 
 def log1p_share(total, scale: float = 10_000_000.0) -> Column:
     return clip(F.log1p(number(total)) / F.lit(math.log1p(scale)), 0, 1)
+
+
+def python_round(value, digits: int) -> Column:
+    """Round the exact binary value, exact ties to even, as the contract's published numbers do.
+
+    The value is split in two halves so that its product with twice the scale has no rounding error
+    and the side of the tie is known exactly.
+    """
+    value = number(value)
+    scale = float(10 ** digits)
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    low = value - high
+    down = F.floor(value * scale).cast("double")
+    side = (high * F.lit(2 * scale) - (2 * down + 1)) + low * F.lit(2 * scale)
+    up = (side > 0) | ((side == 0) & (F.pmod(down, F.lit(2.0)) == 1))
+    return (down + up.cast("double")) / F.lit(scale)

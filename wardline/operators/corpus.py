@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.functions.scalar import partition_number
+from wardline.functions.scalar import partition_number, python_round
 from wardline.operators.timeline import position_index
 
 NAMESPACED = ("event_id", "session_id", "scenario_id", "sequence_id")
@@ -73,9 +73,9 @@ def manifest(rows: DataFrame) -> DataFrame:
     sessions = F.count_distinct(F.when(~attacked, F.col("session_id")))
     scenarios = F.count_distinct(F.when(attacked, F.col("scenario_id")))
     return rows.groupBy("split").agg(
-        F.count("*").alias("events"), attacks.alias("attacks"), F.bround(attacks / F.count("*"), 4).alias("attack_event_rate"),
+        F.count("*").alias("events"), attacks.alias("attacks"), python_round(attacks / F.count("*"), 4).alias("attack_event_rate"),
         sessions.alias("normal_sessions"), scenarios.alias("attack_scenarios"),
-        F.bround(scenarios / F.greatest(sessions, F.lit(1)), 4).alias("attack_scenario_rate"),
+        python_round(scenarios / F.greatest(sessions, F.lit(1)), 4).alias("attack_scenario_rate"),
         F.count_distinct("entity_id").alias("entities"))
 
 

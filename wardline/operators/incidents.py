@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.functions.scalar import bucket_15m
+from wardline.functions.scalar import bucket_15m, python_round
 from wardline.schema import ATTACKS
 
 RESOLVED = ("confirmed_threat", "false_positive", "closed")
@@ -15,7 +15,7 @@ FINAL_REVIEWS = ("approved_adaptation", "rejected_change", "dismissed")
 
 def alerting(scored: DataFrame, threshold: float, digits: int = 2) -> DataFrame:
     """Events at or over the threshold; the live path compares the rounded risk."""
-    return scored.where(F.bround("risk_score", digits) >= threshold)
+    return scored.where(python_round("risk_score", digits) >= threshold)
 
 
 def incident_key() -> Column:
@@ -30,7 +30,7 @@ def correlate(alerts: DataFrame, carried=("severity", "classifier_confidence", "
     aggregates, so a busy incident is reduced before the shuffle.
     """
     present = [c for c in carried if c in alerts.columns]
-    risk = F.bround("risk_score", 2)
+    risk = python_round("risk_score", 2)
     best = F.min(F.struct((-risk).alias("minus_risk"), "us", "event_id", *present))
     grouped = alerts.groupBy("entity_id", "predicted_attack", bucket_15m("us").alias("bucket")).agg(
         F.count("*").alias("event_count"), best.alias("anchor"), F.max("us").alias("last_us"), F.min("us").alias("created_us"))

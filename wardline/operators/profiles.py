@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.scalar import (DAY, HOUR, MINUTE, circular_hours, clip, floor_div, guarded_z, hour_of_day,
-                                       log1p_share, minute_of_day, padded_distance, sensitive_flag)
+                                       log1p_share, minute_of_day, padded_distance, python_round, sensitive_flag)
 from wardline.operators.timeline import position_index, running_before
 from wardline.operators.windows import Spans
 from wardline.schema import (ENTITY_MINIMUM, LOG_LIMIT, MATURE_KINDS, NUMERIC_LIMIT, PEER_MINIMUM, VALUE_LIMITS)
@@ -63,7 +63,7 @@ def trusted_always(events: DataFrame) -> DataFrame:
 def trusted_live(scored: DataFrame, max_risk: float = 29.0) -> DataFrame:
     """Automatic trust of low-risk normal events, or an explicit override."""
     override = F.coalesce(F.col("trusted_override"), F.lit(False)) if "trusted_override" in scored.columns else F.lit(False)
-    low = (F.round("risk_score", 2) <= max_risk) & (F.col("predicted_attack") == "normal")
+    low = (python_round("risk_score", 2) <= max_risk) & (F.col("predicted_attack") == "normal")
     return scored.withColumn("trusted", low | override)
 
 
@@ -618,3 +618,21 @@ def known_values(events: DataFrame, dims: tuple = ("device", "location", "resour
         (F.col("value") != ANY) & F.col("gone_at").isNull() & F.col("dim").isin(*dims))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_at", "value"))), lambda x: x["value"])
     return current.groupBy(*KEYS, "dim").agg(ordered.alias("known"))
+
+
+def profile_cards(events: DataFrame, policy: ProfilePolicy = ProfilePolicy()) -> DataFrame:
+    """Each entity's latest event with the runtime baseline it would be judged by, and its summary."""
+    at = F.struct("us", "event_id")
+    latest = events.groupBy("entity_id").agg(F.max_by(F.struct("device_id", "entity_type", "department", "user_role"), at).alias("l")).select(
+        "entity_id", "l.*").withColumn("levels", level_keys())
+    cards = profile_summary(events, policy)
+    asked = latest.select("entity_id", "user_role", "department", F.explode("levels").alias("x")).select("entity_id", "user_role", "department", "x.kind", "x.key")
+    needed = F.when(F.col("kind").isin(*MATURE_KINDS), policy.entity_minimum).otherwise(policy.peer_minimum)
+    place = F.array_position(F.array(*[F.lit(k) for k in ("entity", "device", "peer", "global")]), F.col("kind"))
+    joined = asked.join(cards, "key", "left").withColumn("place", F.when(F.col("event_count") >= needed, place))
+    stats = [c for c in cards.columns if c not in ("key", "baseline_kind")]
+    best = joined.groupBy("entity_id", "user_role", "department").agg(F.min_by(F.struct("kind", *stats), "place").alias("b"), F.min("place").alias("p"))
+    none = F.col("p").isNull()
+    result = best.select("entity_id", "user_role", "department", F.when(none, F.lit("global_default")).otherwise(F.col("b.kind")).alias("baseline_kind"),
+                         *[F.when(none, 0).otherwise(F.col("b." + c)).alias(c) for c in stats])
+    return result.withColumn("profile_maturity", maturity("baseline_kind"))

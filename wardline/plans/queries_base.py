@@ -329,7 +329,7 @@ def eviction(spark, d):
 LIVE = "least(100.0, greatest(0.0, 100.0 * (0.30 * anomaly_score + 0.05 * sequence_anomaly_score + 0.25 * p_malicious + 0.35 * deviation)))"
 
 
-@query("p11_live_trust", over_t(f"SELECT event_id, round_even({LIVE}, 2) <= 29 AND (p_malicious < 0.5) OR eid % 41 = 0 AS trusted FROM t"))
+@query("p11_live_trust", over_t(f"SELECT event_id, CAST(printf('%.2f', {LIVE}) AS DOUBLE) <= 29 AND (p_malicious < 0.5) OR eid % 41 = 0 AS trusted FROM t"))
 def live_trust(spark, d):
     risk = F.expr("100.0D * (0.30D * anomaly_score + 0.05D * sequence_anomaly_score + 0.25D * p_malicious + 0.35D * deviation)")
     rows = events(spark, d).select("event_id", risk.alias("risk_score"), F.expr("eid % 41 = 0").alias("trusted_override"),
