@@ -27,8 +27,7 @@ def clip(value, low: float, high: float) -> Column:
 def finite(value) -> Column:
     """Non-finite or missing measurements fall back to the registry default of zero."""
     value = number(value)
-    broken = value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
-    return F.when(broken, F.lit(0.0)).otherwise(value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(F.lit(0.0))
 
 
 def floor_div(us, width: int) -> Column:
@@ -130,12 +129,15 @@ def python_round(value, digits: int) -> Column:
     The value is split in two halves so that its product with twice the scale has no rounding error
     and the side of the tie is known exactly.
     """
-    value = number(value)
     scale = float(10 ** digits)
-    wide = value * F.lit(134217729.0)
-    high = wide - (wide - value)
-    low = value - high
-    down = F.floor(value * scale).cast("double")
-    side = (high * F.lit(2 * scale) - (2 * down + 1)) + low * F.lit(2 * scale)
-    up = (side > 0) | ((side == 0) & (F.pmod(down, F.lit(2.0)) == 1))
-    return (down + up.cast("double")) / F.lit(scale)
+
+    def settle(v: Column) -> Column:
+        wide = v * F.lit(134217729.0)
+        high = wide - (wide - v)
+        down = F.floor(v * scale).cast("double")
+        side = (high * F.lit(2 * scale) - (2 * down + 1)) + (v - high) * F.lit(2 * scale)
+        up = (side > 0) | ((side == 0) & (F.pmod(down, F.lit(2.0)) == 1))
+        return (down + up.cast("double")) / F.lit(scale)
+
+    # The one-element array names the value, so a long input expression is evaluated once.
+    return F.element_at(F.transform(F.array(number(value)), settle), 1)

@@ -373,7 +373,11 @@ def range_features(events: DataFrame, baselines: DataFrame, facts: DataFrame, nu
             .withColumn("slot", _slot()))
     totals = running_before(rows, KEYS, order, {m: "sum" for m in _RANGE_MEASURES}, slot="slot", prefix="in_")
     totals = totals.where("phase = 0").select("event_id", "same_resource", *["in_" + m for m in _RANGE_MEASURES])
+    return _range_values(totals, events, baselines, facts, numeric, policy)
 
+
+def _range_values(totals: DataFrame, events: DataFrame, baselines: DataFrame, facts: DataFrame, numeric: DataFrame,
+                  policy: ProfilePolicy) -> DataFrame:
     current = events.select(
         "event_id", F.col("is_external_destination").alias("external"),
         (F.col("bytes_uploaded") + F.col("bytes_downloaded")).alias("moved_now"),
@@ -406,6 +410,43 @@ def range_features(events: DataFrame, baselines: DataFrame, facts: DataFrame, nu
         sensitive.alias("sensitive_access_rate_30d_zscore"))
 
 
+def closed_range_features(events: DataFrame, baselines: DataFrame, facts: DataFrame, numeric: DataFrame,
+                          spans: Spans = Spans(), policy: ProfilePolicy = ProfilePolicy()) -> DataFrame:
+    """F21, F28 and F32 against finished profiles: every logged fact since the range began counts.
+
+    Time runs backwards, so "since" becomes "before" and the same running totals apply.
+    """
+    ends = facts.groupBy(*KEYS).agg(F.max("n").alias("last_n"), F.max("m").alias("last_m"))
+    logged = facts.join(ends, KEYS).where(F.col("n") > F.col("last_n") - policy.log_limit)
+    moved = facts.where("transfer IS NOT NULL").join(ends, KEYS).where(F.col("m") > F.col("last_m") - policy.log_limit)
+    back = (-F.col("us")).alias("us")
+    asked = baselines.join(events.select("event_id", "resource_id"), "event_id")
+
+    def probes(width: int, *extra: str) -> DataFrame:
+        return asked.select(*KEYS, (F.lit(width) - F.col("us")).alias("us"), "event_id", *extra, F.lit(1).alias("phase"))
+
+    def summed(rows: DataFrame, asking: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+        both = rows.withColumn("phase", F.lit(0)).unionByName(asking, allowMissingColumns=True)
+        both = both.withColumns({m: F.coalesce(m, F.lit(0)) for m in measures})
+        return running_before(both, keys, ["us", "phase", "event_id"], {m: "sum" for m in measures}, prefix="in_")
+
+    one = F.lit(1).cast("long")
+    visits = summed(logged.select(*KEYS, "resource_id", back, "event_id", one.alias("step")), probes(spans.day, "resource_id"),
+                    [*KEYS, "resource_id"], ["step"]).withColumnRenamed("in_step", "same_resource")
+    before, after = F.col("same_resource"), F.col("same_resource") + F.col("step")
+    moves = visits.select(*KEYS, "us", "event_id", "phase", "same_resource", F.col("step").alias("res_n"),
+                          ((after > 0).cast("long") - (before > 0).cast("long")).alias("res_kinds"), (_mass(after) - _mass(before)).alias("res_mass"))
+    mixed = running_before(moves, KEYS, ["us", "phase", "event_id"], {m: "sum" for m in ("res_n", "res_kinds", "res_mass")}, prefix="in_").where("phase = 1")
+    flags = summed(logged.select(*KEYS, back, "event_id", one.alias("flags_n"), F.col("flag").alias("flags_sum")), probes(spans.month),
+                   KEYS, ["flags_n", "flags_sum"]).where("phase = 1")
+    sent = summed(moved.select(*KEYS, back, "event_id", one.alias("moved_n"), F.col("transfer").cast("decimal(19,0)").alias("moved_sum")),
+                  probes(spans.day), KEYS, ["moved_n", "moved_sum"]).where("phase = 1")
+    totals = (mixed.select("event_id", "same_resource", "in_res_n", "in_res_kinds", "in_res_mass")
+              .join(flags.select("event_id", "in_flags_n", "in_flags_sum"), "event_id")
+              .join(sent.select("event_id", "in_moved_n", "in_moved_sum"), "event_id"))
+    return _range_values(totals, events, baselines, facts, numeric, policy)
+
+
 # ---- known values --------------------------------------------------------------------------
 
 ANY = "*"
