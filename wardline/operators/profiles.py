@@ -155,7 +155,14 @@ def choose_baseline(placed: DataFrame, policy: ProfilePolicy = ProfilePolicy(),
     grown = F.least(F.lit(1.0), F.lit(.25) + F.lit(.75) * F.col("baseline_count") / (2.0 * F.col("minimum")))
     confidence = (F.when(F.col("baseline_kind").endswith("_prior"), F.lit(.55))
                   .when(F.col("baseline_count") > 0, grown).otherwise(F.lit(.1)))
-    return result.withColumn("baseline_confidence", confidence).drop("minimum")
+    # Priors live in a scope of their own, so their facts never mix with live ones of the same key.
+    scope = F.when(F.col("baseline_kind").endswith("_prior"), F.lit("prior")).otherwise(F.col("scope"))
+    return result.withColumns({"baseline_confidence": confidence, "scope": scope}).drop("minimum")
+
+
+def prior_seeds(events: DataFrame) -> DataFrame:
+    """Trusted training events as prior facts; they must precede the events they serve."""
+    return events.where("trusted").withColumns({"scope": F.lit("prior"), "seed": F.lit(True)})
 
 
 def _with_priors(result: DataFrame, priors: DataFrame | None) -> DataFrame:

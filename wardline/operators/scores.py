@@ -53,9 +53,16 @@ def calibrated_map(raw: dict[str, Column], calibrators: dict[str, tuple[float, f
     for name, p in raw.items():
         fitted = calibrators.get(name)
         values[name] = p if fitted is None else 1 / (1 + F.exp(-(F.lit(fitted[0]) * p + F.lit(fitted[1]))))
-    columns = list(values.values())
-    total = F.greatest(sum(columns[1:], columns[0]), F.lit(1e-12))
-    return F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v / total)])
+    return F.map_from_arrays(F.array(*[F.lit(n) for n in values]), shares(F.array(*values.values())))
+
+
+def shares(values: Column) -> Column:
+    """Divide an array by its sum (at least 1e-12); the one-element array evaluates the input once."""
+    def divide(held: Column) -> Column:
+        total = F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(held, lambda x: x / F.greatest(total, F.lit(1e-12)))
+
+    return F.element_at(F.transform(F.array(values), divide), 1)
 
 
 def attack_probabilities(probabilities) -> Column:
