@@ -110,3 +110,19 @@ def test_stream_deduplication(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").groupBy("event_id").count().where("count > 1").count() == 0
     assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
+def test_related_history_gives_the_same_features(spark, bundle, tmp_path):
+    """Pruned history must not change a feature of the batch."""
+    policy = ingest.profiles.ProfilePolicy(entity_minimum=2, peer_minimum=3)
+    lines = [event(i, entity_id=f"u{i % 3}", device_id=f"d{i % 4}", source_ip=f"10.0.0.{i % 2}", user_role=["engineer", "analyst"][i % 3 == 2]) for i in range(16)]
+    job = run(spark, bundle, tmp_path, "pruned", [lines], max_trusted_risk=100.0, policy=policy)
+    job.bundle.behaviour_threshold = 1.1
+    fresh, _ = job.admit(spark.createDataFrame([(event(40, entity_id="u0", device_id="d0"),), (event(41, entity_id="new", device_id="new"),)], "value string"), 1)
+    fresh = fresh.cache()
+    kept = job.related(job.history(1), fresh, 1)
+    trusted = job.table("events").where("trusted").count()
+    assert trusted > 6 and kept.count() < 16
+    pruned = sorted(map(tuple, job.features(fresh, 1).select("event_id", "baseline_kind", "baseline_count", *FEATURES).collect()))
+    job.related = lambda stored, *_: stored
+    assert pruned == sorted(map(tuple, job.features(fresh, 1).select("event_id", "baseline_kind", "baseline_count", *FEATURES).collect()))

@@ -13,7 +13,7 @@ from wardline.operators.timeline import position_index
 GROUP = ["entity_id", "day"]
 HORIZON = 30
 # Above this many events a day of one entity is ranked across tasks instead of inside one.
-CROWDED_DAY = 1_000_000
+CROWDED_DAY = 50_000
 
 
 def daily_rollup(events: DataFrame, columns, crowded: int = CROWDED_DAY) -> DataFrame:

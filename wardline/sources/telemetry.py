@@ -77,11 +77,19 @@ FROM c
 """
 
 DUCK_TELEMETRY = PROJECTION.replace("@US", DUCK_US).replace("@K", DUCK_K).replace("@SRC", "events")
-SPARK_TELEMETRY = PROJECTION.replace("@US", SPARK_US).replace("@K", SPARK_K).replace("@SRC", "{source}")
+# The generator names the parsed value: pushed-down filters would otherwise repeat the JSON parse per use.
+SPARK_SOURCE = f"{{source}} LATERAL VIEW explode(array({SPARK_K})) AS k"
+SPARK_TELEMETRY = PROJECTION.replace("@US", SPARK_US).replace("@K", "k").replace("@SRC", SPARK_SOURCE)
+
+
+def spread(source: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input of fewer splits than cores; larger inputs are left as they are."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return source.repartition(cores, key) if source.rdd.getNumPartitions() < cores else source
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access telemetry over the driver's events; columns the caller never uses are not read."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
     df = spark.sql(SPARK_TELEMETRY, source=source)
     return df.selectExpr("*", "filter(split(commands, '>'), x -> x <> '') AS command_sequence")

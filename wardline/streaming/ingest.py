@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions.scalar import criticality, hour_of_day
@@ -54,7 +54,8 @@ class Ingestion:
             newest = stored.agg(F.max("us")).first()[0]
             late = F.col("us") < F.lit((newest or 0) - self.lateness_us)
             checked = checked.withColumn("violations", F.when(late & (F.size("violations") == 0), F.array(F.lit("late"))).otherwise(F.col("violations")))
-        valid, bad = validate.split_valid(checked)
+        # Parsed once: both sides of the split would otherwise parse every line again.
+        valid, bad = validate.split_valid(cut_lineage(checked))
         fresh = validate.first_by_id(valid, ("us", "raw"))
         if stored is not None:
             fresh = validate.unseen(fresh, stored)
@@ -68,11 +69,44 @@ class Ingestion:
         newest = stored.agg(F.max("us")).first()[0] or 0
         return stored.where(F.col("us") >= newest - self.lookback_us)
 
+    def related(self, stored: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
+        """The earlier events that can matter for this batch.
+
+        Those of its entities and devices, those recently on its addresses, and the peers of events that
+        no entity or device profile covers yet. Only if a peer group is too small as well, and there
+        are no priors, is the whole history needed.
+        """
+        facts = self.table("profile_facts", batch_id)
+        if facts is None:
+            return stored
+        levels = fresh.select("event_id", F.explode(profiles.level_keys()).alias("l")).select("event_id", "l.*")
+        counts = facts.join(levels.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+        sized = levels.join(counts, "key", "left")
+
+        def at(kind: str, value) -> Column:
+            return F.max(F.when(F.col("kind") == kind, value))
+
+        n = F.coalesce("n", F.lit(0))
+        per = cut_lineage(sized.groupBy("event_id").agg(
+            *[at(k, F.col("key")).alias(k) for k in ("entity", "device", "peer")],
+            (F.greatest(at("entity", n), at("device", n)) < self.policy.entity_minimum).alias("cold"),
+            (at("peer", n) < self.policy.peer_minimum).alias("lonely")))
+        if self.priors is None and not per.where("cold AND lonely").isEmpty():
+            return stored
+        start = fresh.agg(F.min("us")).first()[0] - self.spans.medium
+        wanted = (per.select(F.explode(F.array("entity", "device", F.when(F.col("cold"), F.col("peer")))).alias("key"))
+                  .unionByName(fresh.select(F.concat(F.lit("address:"), "source_ip").alias("key"))).where("key IS NOT NULL").distinct())
+        address = F.when(F.col("us") >= start, F.concat(F.lit("address:"), "source_ip"))
+        keys = F.concat(F.transform(profiles.level_keys(), lambda x: x["key"]), F.array(address))
+        touched = stored.select("event_id", F.explode(keys).alias("key")).join(wanted, "key", "left_semi").select("event_id").distinct()
+        return stored.join(touched, "event_id", "left_semi")
+
     def features(self, fresh: DataFrame, batch_id: int) -> DataFrame:
         columns = [*EVENT_FIELDS, "us"]
         rows = fresh.select(*columns).withColumns({"trusted": F.lit(False), "fresh": F.lit(True)})
         stored = self.history(batch_id)
         if stored is not None:
+            stored = self.related(stored, fresh, batch_id)
             rows = stored.select(*columns, "trusted").withColumn("fresh", F.lit(False)).unionByName(rows)
         priors = None if self.priors is None else self.priors.select(*columns, "trusted")
         computed = behaviour_features(rows, self.spans, self.policy, runtime=True, priors=priors).drop("scope")
