@@ -18,6 +18,7 @@ from wardline.functions.scalar import (DAY, HOUR, MINUTE, circular_hours, clip,
 from wardline.operators.timeline import position_index, running_before
 from wardline.operators.windows import Spans
 from wardline.schema import (ENTITY_MINIMUM, LOG_LIMIT, MATURE_KINDS, NUMERIC_LIMIT, PEER_MINIMUM, VALUE_LIMITS)
+from wardline.session import cut_lineage
 
 ORDER = ["us", "event_id"]
 KEYS = ["scope", "key"]
@@ -472,15 +473,21 @@ def transitions(commands) -> Column:
 
 
 def observed_values() -> Column:
-    """Values an event shows in each novelty dimension; a null value means not shown."""
+    """Values an event shows in each novelty dimension.
+
+    A dimension an event may leave out also carries a mark, so "has this profile any value of it" is
+    the same equality join as "does it have this value".
+    """
     def one(dim: str, value: Column) -> Column:
-        return F.array(F.struct(F.lit(dim).alias("dim"), value.alias("value")))
+        return F.struct(F.lit(dim).alias("dim"), value.alias("value"))
+
+    def optional(dim: str, value: Column) -> list[Column]:
+        return [one(dim, value), one(dim, F.when(value.isNotNull(), F.lit(ANY)))]
 
     api, command = F.col("event_type") == "api_call", F.size("command_sequence") > 0
-    method = F.col("auth_method") != "not_applicable"
-    return F.concat(
-        one("auth_method", F.when(method, F.col("auth_method"))),
-        one("endpoint", F.when(api, F.concat("http_method", F.lit(":"), "api_route"))),
+    fixed = F.array(
+        *optional("auth_method", F.when(F.col("auth_method") != "not_applicable", F.col("auth_method"))),
+        *optional("endpoint", F.when(api, F.concat("http_method", F.lit(":"), "api_route"))),
         one("source_ip", F.col("source_ip")), one("device", F.col("device_id")),
         one("fingerprint", F.col("device_fingerprint")),
         one("posture", F.concat_ws("|", "operating_system", "firmware_version", "browser", "device_mac_hash")),
@@ -488,15 +495,10 @@ def observed_values() -> Column:
         one("event_action", F.concat_ws(":", "event_type", "action")),
         one("protocol_port", F.concat_ws(":", "network_protocol", "destination_port")),
         one("privileged", F.when(F.col("is_privileged_action"), F.col("resource_id"))),
-        F.transform(F.when(command, transitions("command_sequence")).otherwise(F.array().cast("array<string>")),
-                    lambda t: F.struct(F.lit("transition").alias("dim"), t.alias("value"))))
-
-
-def _with_any(values: Column) -> Column:
-    shown = F.filter(values, lambda v: v["value"].isNotNull())
-    marks = F.transform(F.array_distinct(F.transform(F.filter(shown, lambda v: v["dim"].isin(*_OPTIONAL)), lambda v: v["dim"])),
-                        lambda d: F.struct(d.alias("dim"), F.lit(ANY).alias("value")))
-    return F.concat(shown, marks)
+        one("transition", F.when(command, F.lit(ANY))))
+    steps = F.transform(F.when(command, transitions("command_sequence")).otherwise(F.array().cast("array<string>")),
+                        lambda t: F.struct(F.lit("transition").alias("dim"), t.alias("value")))
+    return F.filter(F.concat(fixed, steps), lambda v: v["value"].isNotNull())
 
 
 def first_sightings(events: DataFrame, wanted: DataFrame | None = None,
@@ -509,17 +511,18 @@ def first_sightings(events: DataFrame, wanted: DataFrame | None = None,
     levels = level_keys()
     rows = events.where("trusted").select(
         *([F.col("scope")] if "scope" in events.columns else [F.lit("").alias("scope")]), "us", "event_id",
-        levels.alias("levels"), F.explode(_with_any(observed_values())).alias("v"))
+        levels.alias("levels"), F.explode(observed_values()).alias("v"))
     rows = rows.select("scope", "us", "event_id", F.explode("levels").alias("l"), "v.dim", "v.value")
     rows = rows.where(F.col("l.kind").isin(*MATURE_KINDS) | ~F.col("dim").isin(*_GATED, "fingerprint"))
     rows = rows.select("scope", F.col("l.key").alias("key"), "dim", "value", "us", "event_id")
     if wanted is not None:
         rows = rows.join(wanted, KEYS, "left_semi")
     first = rows.groupBy(*KEYS, "dim", "value").agg(F.min(F.struct("us", "event_id")).alias("first_at"))
-    return _with_eviction(first, policy)
+    # The reduced table is read several times below; without the cut each time would explode the facts again.
+    return with_eviction(cut_lineage(first), policy)
 
 
-def _with_eviction(first: DataFrame, policy: ProfilePolicy) -> DataFrame:
+def with_eviction(first: DataFrame, policy: ProfilePolicy) -> DataFrame:
     limits = F.create_map(*[F.lit(x) for pair in policy.value_limits.items() for x in pair])
     real = first.where(F.col("value") != ANY)
     crowded = (real.groupBy(*KEYS, "dim").count().where(F.col("count") > F.element_at(limits, F.col("dim")))
@@ -543,10 +546,9 @@ def novelty_features(events: DataFrame, baselines: DataFrame, sightings: DataFra
     """F06, F09-F12, F14, F15, F19, F20 and F23-F25 from one equality join."""
     b = baselines.select("event_id", *KEYS, "baseline_kind", "baseline_count")
     mature = F.col("baseline_kind").isin(*MATURE_KINDS)
-    asked = events.select("event_id", "us", F.explode(_with_any(observed_values())).alias("v")).select(
+    asked = events.select("event_id", "us", F.explode(observed_values()).alias("v")).select(
         "event_id", "us", "v.*").join(b, "event_id")
     asked = asked.where(mature | ~F.col("dim").isin(*_GATED, "fingerprint"))
-    # Dimensions the event does not show still need to know whether the profile has any value.
     matched = asked.join(sightings, [*KEYS, "dim", "value"], "left").select(
         "event_id", "dim", "value", "us", *KEYS, "baseline_count",
         known_at("first_at", "gone_at", F.struct("us", "event_id")).alias("known"))
@@ -561,10 +563,11 @@ def novelty_features(events: DataFrame, baselines: DataFrame, sightings: DataFra
         return F.max(F.when((F.col("dim") == dim) & (F.col("value") == ANY), F.col("known").cast("int"))).alias("any_" + dim)
 
     names = [d for d in NOVELTY_DEFAULTS if d != "transition"] + ["privileged", "fingerprint"]
-    flags = matched.groupBy("event_id").agg(
+    flags = cut_lineage(matched.groupBy("event_id").agg(
         *[is_known(d) for d in names], *[has_any(d) for d in _OPTIONAL],
-        F.avg(F.when(shown("transition"), 1.0 - F.col("known").cast("double"))).alias("new_transitions"))
-    unseen = matched.where(shown("fingerprint") & ~F.col("known") & (F.col("baseline_count") > 0))
+        F.avg(F.when(shown("transition"), 1.0 - F.col("known").cast("double"))).alias("new_transitions")))
+    unseen = (flags.where("known_fingerprint = 0").select("event_id").join(b.where("baseline_count > 0"), "event_id")
+              .join(events.select("event_id", "us", F.col("device_fingerprint").alias("value")), "event_id"))
     distances = print_distances(unseen, sightings, policy)
     methods = auth_lists(events, b, sightings)
     joined = (b.join(flags, "event_id", "left").join(distances, "event_id", "left").join(methods, "event_id", "left")

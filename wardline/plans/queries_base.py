@@ -322,7 +322,7 @@ def eviction(spark, d):
     rows = events(spark, d).where("trusted").select(F.lit("").alias("scope"), F.col("user_role").alias("key"), F.lit("resource").alias("dim"),
                                                     F.col("resource_id").alias("value"), "us", "event_id")
     first = rows.groupBy("scope", "key", "dim", "value").agg(F.min(F.struct("us", "event_id")).alias("first_at"))
-    kept = profiles._with_eviction(first, profiles.ProfilePolicy(value_limits={"resource": 5}))
+    kept = profiles.with_eviction(first, profiles.ProfilePolicy(value_limits={"resource": 5}))
     return kept.select(F.col("key").alias("role"), "value", F.col("first_at.us").alias("first_us"), F.col("gone_at.us").alias("gone_us"))
 
 
