@@ -38,7 +38,7 @@ def r6(value) -> Column:
 
 
 def d6(sql: str) -> str:
-    return f"(round({sql}, 6) + 0.0)"
+    return f"(round(CAST(({sql}) AS DOUBLE), 6) + 0.0)"
 
 
 def rounded(df: DataFrame) -> DataFrame:
