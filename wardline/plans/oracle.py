@@ -111,7 +111,7 @@ def _stats(name: str, value: str, cond: str = "rn <= 500") -> str:
 
 
 STATS_CTE = f"""
-stats AS MATERIALIZED (SELECT q AS event_id, avg({hour('us')}) FILTER (WHERE rn <= 500) AS m_hour, {_stats('sens', 'resource_sensitivity')},
+stats AS MATERIALIZED (SELECT q AS event_id, sum(CAST(floor((us % 86400000000) / 60000000.0) AS BIGINT)) FILTER (WHERE rn <= 500) / 60.0 / count(*) FILTER (WHERE rn <= 500) AS m_hour, {_stats('sens', 'resource_sensitivity')},
  {_stats('flag', 'flag')}, {_stats('down', 'bytes_downloaded')}, {_stats('up', 'bytes_uploaded')},
  {_stats('dur', 'session_duration_seconds')}, {_stats('gap', 'gap')},
  {_stats('ext', 'moved', 'is_external_destination AND ext_rn <= 500')},

@@ -33,12 +33,12 @@ def over_t(sql: str) -> str:
 
 
 def r6(value) -> Column:
-    """Six decimals, without negative zero."""
-    return F.round(F.col(value) if isinstance(value, str) else value, 6) + F.lit(0.0)
+    """Six decimals, without negative zero. The nudge settles exact ties the same way in both engines."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def d6(sql: str) -> str:
-    return f"(round(CAST(({sql}) AS DOUBLE), 6) + 0.0)"
+    return f"(round(CAST(({sql}) AS DOUBLE) + 1e-9, 6) + 0.0)"
 
 
 def rounded(df: DataFrame) -> DataFrame:
