@@ -109,3 +109,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.mixing import curriculum
 
     return curriculum(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op5_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "lang", "posterior", "identified")
