@@ -16,7 +16,8 @@ from wardline.llm.components import components
 from wardline.llm.textkit import minhash, multipliers, shingles, smallest_labels, sorted_groups
 
 TOKENS = 64  # minhash tokens that stand for a set
-BUCKET = 96  # rows of a bucket, or of a tile of a larger one, that are compared directly
+BUCKET = 96  # rows of a bucket that are compared directly
+TILE_ROWS, TILE_ITEMS = 512, 1_000_000  # of a tile of a larger bucket
 DEPTH = 4  # splits of a path at most; larger buckets are then compared tile by tile
 DENSE = 0.7  # a split that leaves this part of the rows together found a group of near copies
 MARGIN = 0.22  # over four standard deviations of an estimate from TOKENS tokens
@@ -97,12 +98,21 @@ def chosen_path_buckets(sets: DataFrame, threshold: float, recall: float, seed:
     return closed.join(single.select("of"), F.col("leaf") == F.col("of")).select("leaf", "digest", "size")
 
 
-def _tiled(buckets: DataFrame) -> DataFrame:
-    """Pairs of tiles of each bucket: a bucket of up to BUCKET rows is one tile; a row of a larger one meets every tile once."""
-    tiles = F.ceil(F.col("size") / BUCKET).cast("int")
-    own = F.pmod(F.xxhash64("leaf", "digest"), tiles).cast("int")
-    spread = buckets.select("*", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    return spread.select(*buckets.columns, "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+def _tiled(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of tiles of each bucket: a bucket of up to BUCKET rows is one tile; a row of a larger one meets every tile once.
+
+    Tiles are bounded in rows and in shingles. The rows carry the set's `tokens`, `copies` and all its `leaves`.
+    """
+    known = sets.select(F.col("digest").alias("d"), "n", "copies", "tokens")
+    weights = buckets.join(known.select("d", "n"), F.col("digest") == F.col("d")).groupBy("leaf").agg(F.sum("n").alias("items")).select(F.col("leaf").alias("of"), "items")
+    tiles = F.when(F.col("size") <= BUCKET, 1).otherwise(F.greatest(F.ceil(F.col("size") / TILE_ROWS), F.ceil(F.col("items") / TILE_ITEMS))).cast("int")
+    sized = buckets.join(weights, F.col("leaf") == F.col("of")).select("leaf", "digest", tiles.alias("tiles"))
+    own = F.pmod(F.xxhash64("leaf", "digest"), "tiles").cast("int")
+    spread = sized.select("leaf", "digest", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    leaves = buckets.groupBy("digest").agg(F.collect_list("leaf").alias("leaves"))  # at most a path's ends per run
+    known = known.join(leaves, F.col("d") == F.col("digest")).drop("digest", "n")
+    return spread.join(known, F.col("digest") == F.col("d")).select(
+        "leaf", "digest", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tokens", "copies", "leaves")
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -114,14 +124,27 @@ def _considered(tile: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return ~np.eye(len(tile), dtype=bool) if lo == hi else (tile[:, None] != tile[None, :])
 
 
+def _met_before(leaf: int, leaves: list[list[int]]) -> np.ndarray | None:
+    """Which pairs of rows share a bucket with a smaller number than `leaf`: they are compared there."""
+    earlier = [[x for x in own if x < leaf] for own in leaves]
+    known = {x: i for i, x in enumerate({x for own in earlier for x in own})}
+    if not known:
+        return None
+    member = np.zeros((len(leaves), len(known)), dtype=np.float32)
+    for i, own in enumerate(earlier):
+        member[i, [known[x] for x in own]] = 1
+    return member @ member.T > 0
+
+
 def likely_rows(tiled: DataFrame, threshold: float) -> DataFrame:
-    """The rows of `tiled` (with `tokens`) that have a partner whose estimated similarity may reach the threshold."""
+    """The rows of `tiled` that have a partner, not met in another bucket, whose estimated similarity may reach the threshold."""
     least = threshold - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in sorted_groups(batches, ("leaf", "lo", "hi")):
             tokens = table.column("tokens").chunk(0).flatten().to_numpy().reshape(-1, TOKENS)
-            tile, lo, hi = (table.column(c).to_numpy() for c in ("tile", "lo", "hi"))
+            tile, lo, hi, leaf = (table.column(c).to_numpy() for c in ("tile", "lo", "hi", "leaf"))
+            leaves = table.column("leaves")
             keep = np.zeros(table.num_rows, dtype=bool)
             for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 if e <= s + 1:
@@ -130,10 +153,13 @@ def likely_rows(tiled: DataFrame, threshold: float) -> DataFrame:
                 same = np.zeros((e - s, e - s), dtype=np.uint8)
                 for j in range(TOKENS):
                     same += block[:, j][:, None] == block[:, j][None, :]
-                keep[s:e] = ((same >= least * TOKENS) & _considered(tile[s:e], lo[s], hi[s])).any(axis=1)
-            yield from table.filter(pa.array(keep)).select(["leaf", "digest", "tile", "lo", "hi"]).to_batches()
+                likely = (same >= least * TOKENS) & _considered(tile[s:e], lo[s], hi[s])
+                if likely.any():
+                    met = _met_before(leaf[s], leaves.slice(s, e - s).to_pylist())
+                    keep[s:e] = (likely if met is None else likely & ~met).any(axis=1)
+            yield from table.filter(pa.array(keep)).select(["leaf", "digest", "tile", "lo", "hi", "copies", "leaves"]).to_batches()
 
-    return _grouped(tiled).mapInArrow(run, "leaf bigint, digest binary, tile int, lo int, hi int")
+    return _grouped(tiled).mapInArrow(run, "leaf bigint, digest binary, tile int, lo int, hi int, copies bigint, leaves array<bigint>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,14 +199,8 @@ def verified_rows(tiled: DataFrame, threshold: float) -> DataFrame:
                 linked = (both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9) & _considered(tile[s:e], lo[s], hi[s])
                 if not linked.any():
                     continue
-                earlier = [[x for x in leaves if x < leaf[s]] for leaves in shared[s:e]]
-                known = {x: i for i, x in enumerate(sorted({x for leaves in earlier for x in leaves}))}
-                counted = linked
-                if known:
-                    member = np.zeros((e - s, len(known)), dtype=np.float32)
-                    for i, leaves in enumerate(earlier):
-                        member[i, [known[x] for x in leaves]] = 1
-                    counted = linked & (member @ member.T == 0)
+                met = _met_before(leaf[s], shared[s:e])
+                counted = linked if met is None else linked & ~met
                 labels = smallest_labels(linked)
                 links = counted @ copies[s:e]
                 for i in np.flatnonzero(linked.any(axis=1)):
@@ -221,19 +241,16 @@ def jaccard_classes(
     rows = sketches(src, size, seed)
     keep = _place()
     sets = write_table(rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min(keep).alias("keep"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "sets")
+        F.min(keep).alias("keep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
     with arrow_batches(docs.sparkSession, 2000):
         buckets = write_table(chosen_path_buckets(sets, threshold, recall, seed), "buckets")
-        tokens = sets.select(F.col("digest").alias("d"), "tokens")
-        likely = write_table(likely_rows(_tiled(buckets).join(tokens, F.col("digest") == F.col("d")).drop("d"), threshold), "likely")
-    chosen = likely.select("leaf", "digest").distinct().groupBy("digest").agg(F.collect_list("leaf").alias("leaves"))
-    kept = sets.select(F.col("digest").alias("d"), "copies", F.col("keep.file").alias("f"), F.col("keep.row").alias("r"))
-    picked = write_table(chosen.join(kept, F.col("digest") == F.col("d")).select("digest", "leaves", "copies", "f", "r"), "picked")
-    texts = src.join(picked.select("digest", "f", "r"), (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r")))
+        likely = write_table(likely_rows(_tiled(buckets, sets), threshold), "likely")
+    kept = sets.select(F.col("digest").alias("d"), F.col("keep.file").alias("f"), F.col("keep.row").alias("r"))
+    picked = write_table(likely.select("digest").distinct().join(kept, F.col("digest") == F.col("d")).select("digest", "f", "r"), "picked")
+    texts = src.join(picked, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r")))
     with arrow_batches(docs.sparkSession):
         items = write_table(_sets_of(texts, size), "items")
-    full = likely.join(picked.select(F.col("digest").alias("p"), "leaves", "copies"), F.col("digest") == F.col("p"))
-    full = full.join(items.select(F.col("digest").alias("i"), "items"), F.col("digest") == F.col("i")).select("leaf", "lo", "hi", "tile", "digest", "leaves", "copies", "items")
+    full = likely.join(items.select(F.col("digest").alias("i"), "items"), F.col("digest") == F.col("i")).drop("i")
     with arrow_batches(docs.sparkSession, 512):
         found = write_table(verified_rows(full, threshold), "links")
     drop_table(items)
