@@ -123,3 +123,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.language import identify
 
     return identify(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "lang", "posterior", "identified")
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "start", "stop", "cluster", "removed")
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+@query("op7_topk_search", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
