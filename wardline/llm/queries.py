@@ -122,7 +122,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.language import identify
 
-    return identify(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "lang", "posterior", "identified")
+    return identify(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "lang", "posterior", F.col("identified").alias("kept"))
 
 
 @query("op6_substring_dedup")
@@ -150,3 +150,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(F.col("id").alias("doc_id"), "evidence", "host_rate", "path_rate", "score", "kept")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
