@@ -32,13 +32,6 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/llm-{tag}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
-    path = table_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_table(table: DataFrame) -> None:
     """Delete a table made by `write_table` once nothing reads it any more."""
     spark = table.sparkSession
@@ -64,6 +57,18 @@ def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def write_table(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
+
+    The job's shuffle files are not needed after that and go at its end.
+    """
+    spark = df.sparkSession
+    path = table_path(spark, tag)
+    with session_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def arrow_batches(spark: SparkSession, rows: int = 256):
     """Bound the rows of an Arrow batch: documents may be very long."""
     return session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows))

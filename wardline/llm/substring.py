@@ -77,33 +77,35 @@ def paragraph_marks(rows: DataFrame, seed: int) -> DataFrame:
         return write_table(rows.select(FILE, ROW, "id", "text").mapInArrow(run, schema), "marks")
 
 
-def colliding(marks: DataFrame) -> DataFrame:
+def colliding(marks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc, at, exact, other, other_at, other_exact): each paragraph with the first and the last document of its band, where they differ.
 
     A band with many paragraphs gives two rows per paragraph at most, never all pairs; equal paragraphs all meet
     the band's first document, and one that differs from it may match the last.
+    The tables that the rows are read from come with them.
     """
-    found = None
+    found, tables = None, []
     for i in range(BANDS):
         rows = marks.select("doc", F.explode(F.arrays_zip("at", "exact", F.col(f"band{i}").alias("key"))).alias("p")).select("doc", "p.at", "p.exact", "p.key")
         ends = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo", "hi")
         shared = write_table(rows.join(ends, F.col("key") == F.col("k")).drop("k"), "bands")
+        tables.append(shared)
         for end in ("lo", "hi"):
             centre = shared.filter(F.col("doc") == F.col(end)).groupBy("key").agg(F.min(F.struct("at", "exact")).alias("c")).select(F.col("key").alias("k"), "c")
             pairs = shared.filter(F.col("doc") != F.col(end)).join(centre, F.col("key") == F.col("k")).select(
                 "doc", "at", "exact", F.col(end).alias("other"), F.col("c.at").alias("other_at"), F.col("c.exact").alias("other_exact"))
             found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    return found.distinct(), tables
 
 
-def _contexts(marks: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, at, begin, near): the word hashes around each wanted paragraph, from `begin`."""
+def _contexts(places: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, at, begin, near): the words around each wanted paragraph, from `begin`, as hashes of 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for doc, spots, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                hashes = words(text or "")
+                hashes = words(text or "").astype(np.uint32)
                 for at in spots:
                     begin = max(0, at - CONTEXT)
                     for column, value in zip(out, (doc, at, begin, hashes[begin:at + PARAGRAPH + CONTEXT].tobytes()), strict=True):
@@ -111,7 +113,7 @@ def _contexts(marks: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["doc", "at", "begin", "near"])
 
     spots = wanted.groupBy("doc").agg(F.collect_set("at").alias("spots"))  # at most a text's paragraphs
-    placed = spots.join(marks.select(F.col("doc").alias("d"), F.col(FILE).alias("f"), F.col(ROW).alias("r")), F.col("doc") == F.col("d"))
+    placed = spots.join(places.select(F.col("doc").alias("d"), F.col(FILE).alias("f"), F.col(ROW).alias("r")), F.col("doc") == F.col("d"))
     read = texts.join(placed, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("doc", "spots", "text")
     return read.mapInArrow(run, "doc bigint, at int, begin int, near binary")
 
@@ -127,7 +129,7 @@ def _grown(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for doc, at, begin, near, other, other_at, other_begin, other_near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(near, dtype=U), np.frombuffer(other_near, dtype=U)
+                x, y = (np.frombuffer(raw, dtype=np.uint32).astype(U) for raw in (near, other_near))
                 i, j = at - begin, other_at - other_begin
                 p, q = x[i:i + PARAGRAPH], y[j:j + PARAGRAPH]
                 if not np.array_equal(p, q):
@@ -162,7 +164,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     src = source_rows(docs, id=id_col, text=text_col)
     marks = paragraph_marks(src, seed)
-    pairs = write_table(colliding(marks), "pairs")
+    places = write_table(marks.select(*LOCATOR, "id", "doc"), "places")
+    found, bands = colliding(marks)
+    pairs = write_table(found, "pairs")
+    for done in (marks, *bands):
+        drop_table(done)
     same = pairs.filter("exact = other_exact").withColumn("shift", F.col("at") - F.col("other_at"))
     step = Window.partitionBy("doc", "other", "shift").orderBy("at")  # at most a text's paragraphs
     same = same.withColumn("fresh", F.coalesce((F.col("at") - F.lag("at").over(step) > SPREAD).cast("int"), F.lit(0)))
@@ -177,7 +183,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     unsure = write_table(short.unionByName(alike), "unsure")
     wanted = unsure.select("doc", "at").unionByName(unsure.select(F.col("other").alias("doc"), F.col("other_at").alias("at"))).distinct()
     with arrow_batches(docs.sparkSession):
-        near = write_table(_contexts(marks, src.select(*LOCATOR, "text"), wanted), "contexts")
+        near = write_table(_contexts(places, src.select(*LOCATOR, "text"), wanted), "contexts")
     mine = near.select(F.col("doc").alias("d1"), F.col("at").alias("a1"), "begin", "near")
     theirs = near.select(F.col("doc").alias("d2"), F.col("at").alias("a2"), F.col("begin").alias("other_begin"), F.col("near").alias("other_near"))
     full = unsure.join(mine, (F.col("doc") == F.col("d1")) & (F.col("at") == F.col("a1"))).join(theirs, (F.col("other") == F.col("d2")) & (F.col("other_at") == F.col("a2")))
@@ -198,7 +204,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     edges = matches.join(left, (F.col("doc") == F.col("d1")) & (F.col("start") == F.col("s1")) & (F.col("stop") == F.col("e1")))
     edges = edges.join(right, (F.col("other") == F.col("d2")) & (F.col("other_start") == F.col("s2")) & (F.col("other_stop") == F.col("e2"))).select("a", "b")
     roots = components(edges)
-    placed = spans.join(roots, "node").join(marks.select(*LOCATOR, "id", F.col("doc").alias("d")), F.col("doc") == F.col("d"))
+    placed = spans.join(roots, "node").join(places.select(*LOCATOR, "id", F.col("doc").alias("d")), F.col("doc") == F.col("d"))
     rank = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"), F.col("start").alias("start"))
     placed = write_table(placed.select(*LOCATOR, "id", "start", "stop", F.xxhash64("root").alias("cluster"), "root", rank.alias("rank")), "passages")
     stays = placed.groupBy("root").agg(F.min("rank").alias("first")).select(F.col("root").alias("c"), "first")
