@@ -50,7 +50,8 @@ def ranking_quality(df: DataFrame, score: str, positive: Column, groups=(), scal
     """ROC area with averaged ties and step-rule average precision; zero when a class is missing."""
     keys = list(groups) or ["_all"]
     curve = score_curve(df, score, positive, groups, scale)
-    joined = curve.join(curve_totals(curve, groups), keys)
+    totals = curve_totals(curve, groups)
+    joined = curve.join(totals if groups else F.broadcast(totals), keys)
     below = F.col("negatives") - F.col("fp")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0))
     steps = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -72,7 +73,7 @@ def tuned_threshold(df: DataFrame, score: str, max_normal_fpr: float, fallback:
     positive = attack() if positive is None else positive
     curve = score_curve(df, score, positive, scale=scale)
     totals = curve_totals(curve)
-    rated = curve.join(totals, "_all").select(
+    rated = curve.join(F.broadcast(totals), "_all").select(
         F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("positives")).alias("recall"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("fp"), F.col("negatives")).alias("false_positive_rate"),
@@ -101,7 +102,7 @@ def budget_metrics(df: DataFrame, score: str, fraction: float = .01, event_id: s
     curve = score_curve(df, score, attack(), scale=scale)
     totals = curve_totals(curve).select("_all", "positives", (F.col("positives") + F.col("negatives")).alias("rows"))
     sized = totals.withColumn("budget", F.greatest(F.lit(1), F.ceil(F.col("rows") * F.lit(fraction))).cast("long"))
-    cut = (curve.join(sized, "_all").where((F.col("above_pos") + F.col("above_neg") < F.col("budget"))
+    cut = (curve.join(F.broadcast(sized), "_all").where((F.col("above_pos") + F.col("above_neg") < F.col("budget"))
                                            & (F.col("tp") + F.col("fp") >= F.col("budget")))
            .select("_all", F.col("score").alias("threshold"), "above_pos", (F.col("budget") - F.col("above_pos") - F.col("above_neg")).alias("left"),
                    "budget", "rows", "positives"))
@@ -179,7 +180,6 @@ def class_report(df: DataFrame, actual: str = "label", predicted: str = "predict
     return rows.unionByName(macro).unionByName(weighted).unionByName(accuracy)
 
 
-HISTORY_BUCKETS = (("0", 0, 1), ("1-2", 1, 3), ("3-11", 3, 12), ("12+", 12, None))
 
 
 def history_bucket(count: str) -> Column:

@@ -57,10 +57,6 @@ def trusted_by_label(events: DataFrame) -> DataFrame:
     return events.withColumn("trusted", F.col("label") == "normal")
 
 
-def trusted_always(events: DataFrame) -> DataFrame:
-    return events.withColumn("trusted", F.lit(True))
-
-
 def trusted_live(scored: DataFrame, max_risk: float = 29.0) -> DataFrame:
     """Automatic trust of low-risk normal events, or an explicit override."""
     override = F.coalesce(F.col("trusted_override"), F.lit(False)) if "trusted_override" in scored.columns else F.lit(False)

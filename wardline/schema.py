@@ -78,7 +78,6 @@ DEFAULTS = {
     "device_connection_action": "not_applicable", "device_class": "unknown",
     "is_external_destination": False,
 }
-MAX_BATCH = 500
 FUTURE_TOLERANCE_US = 300_000_000
 
 # ---- Fixed values: labels, feature names and their order (schema 3.0.0) ----

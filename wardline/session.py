@@ -28,12 +28,14 @@ def build_session(master: str | None = None, name: str = "wardline", **extra: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the reliable checkpoint folder and continue from there.
 
-    The folder is the cluster's `spark.checkpoint.dir`; a private one is set only where none is
-    configured, as in tests.
+    The folder is the cluster's `spark.checkpoint.dir`, which the driver and all executors share. Only a purely
+    local master, as in tests, may go without: it gets a private folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wardline-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -22,7 +22,6 @@ from wardline.schema import EVENT_FIELDS, FEATURES, SIGNALS
 from wardline.session import cut_lineage
 from wardline.sources.records import parse_lines, read_table, write_batch
 
-DAY_US = 86_400_000_000
 PUBLISHED = ("event_id", "us", "entity_id", "predicted_attack", "risk_score", "severity", "anomaly_score", "sequence_anomaly_score",
              "classifier_confidence", "model_confidence", "explanation", "recommended_actions", "baseline_kind", "baseline_confidence",
              "behavioral_score", "cold_start", "model_version", "feature_schema_version")
@@ -36,11 +35,9 @@ class Ingestion:
     folder: str
     bundle: scoring.Bundle
     now_us: int | None = None
-    lateness_us: int = DAY_US
     max_trusted_risk: float = 29.0
     spans: Spans = Spans()
     policy: profiles.ProfilePolicy = profiles.ProfilePolicy()
-    lookback_us: int | None = None
     priors: DataFrame | None = None
 
     def table(self, name: str, before: int | None = None) -> DataFrame | None:
@@ -50,10 +47,6 @@ class Ingestion:
         """(new events, quarantine) of a batch of raw lines."""
         checked = parse_lines(lines, self.now_us)
         stored = self.table("events", batch_id)
-        if stored is not None:
-            newest = stored.agg(F.max("us")).first()[0]
-            late = F.col("us") < F.lit((newest or 0) - self.lateness_us)
-            checked = checked.withColumn("violations", F.when(late & (F.size("violations") == 0), F.array(F.lit("late"))).otherwise(F.col("violations")))
         # Parsed once: both sides of the split would otherwise parse every line again.
         valid, bad = validate.split_valid(cut_lineage(checked))
         fresh = validate.first_by_id(valid, ("us", "raw"))
@@ -62,12 +55,8 @@ class Ingestion:
         return fresh.drop("raw"), bad.select("raw", "event_id", "violations")
 
     def history(self, batch_id: int) -> DataFrame | None:
-        """Earlier events with their stored trust; `lookback_us` bounds them when set."""
-        stored = self.table("events", batch_id)
-        if stored is None or self.lookback_us is None:
-            return stored
-        newest = stored.agg(F.max("us")).first()[0] or 0
-        return stored.where(F.col("us") >= newest - self.lookback_us)
+        """Earlier events with their stored trust."""
+        return self.table("events", batch_id)
 
     def related(self, stored: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
         """The earlier events that can matter for this batch.
