@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import FILE, LOCATOR, ROW, anchored, session_conf, source_rows, table_path, without_rows, write_table
 
+STORE_ROWS = 250_000  # rows per state store: each store is a database with several MB of its own on disk
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,17 +25,19 @@ def keyed_state(rows: DataFrame, files_per_batch: int | None = None) -> DataFram
     """One row per key of `rows` (key, id, locator): `keep` (id and content locator of the row that stays) and `n`.
 
     The rows pass through a streaming aggregation whose state lives in RocksDB on the executors' disks and in
-    the shared folder. There is no watermark: no key expires. Each micro-batch writes its updated keys under
+    the shared folder; the number of stores follows the number of rows. There is no watermark: no key expires. Each micro-batch writes its updated keys under
     its own number, so a repeated batch replaces its output; the newest entry of a key counts.
     """
     spark = rows.sparkSession
     spool, out, state = (table_path(spark, t) for t in ("spool", "keys", "state"))
     rows.write.parquet(spool)
+    stores = max(spark.sparkContext.defaultParallelism, -(-spark.read.schema(rows.schema).parquet(spool).count() // STORE_ROWS))
     with session_conf(
         spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256",
+        spark__sql__streaming__internal__stateStore__partitions=str(stores),
     ):
         reader = spark.readStream.schema(rows.schema)
         if files_per_batch:
