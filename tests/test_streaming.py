@@ -58,8 +58,8 @@ def test_ingestion(spark, bundle, tmp_path):
     reasons = {r["event_id"]: r["violations"] for r in job.table("quarantine").collect()}
     assert reasons == {"e007": ["latitude"]}
     predictions = job.table("predictions")
-    assert predictions.count() == 7 and predictions.where("risk_score BETWEEN 0 AND 100").count() == 7
-    assert spark.read.json(f"{job.folder}/feed").count() == 7
+    assert predictions.count() == 8 and predictions.where("risk_score BETWEEN 0 AND 100").count() == 8
+    assert spark.read.json(f"{job.folder}/feed").count() == 8
     trusted = events.where("trusted").count()
     counts = {r["key"]: r["event_count"] for r in ingest.profile_counts(job.table("profile_facts")).collect()}
     assert counts.get("global:organization", 0) == trusted and job.table("drift_values").count() == trusted
@@ -67,7 +67,7 @@ def test_ingestion(spark, bundle, tmp_path):
     assert folded.agg(F.sum("event_count")).first()[0] == predictions.where("risk_score >= 10").count()
     # Replaying a batch changes nothing.
     job.process(spark.createDataFrame([(x,) for x in second], "value string"), 1)
-    assert job.table("events").count() == 7 and job.table("predictions").count() == 7
+    assert job.table("events").count() == 8 and job.table("predictions").count() == 8
 
 
 def test_batch_of_one_follows_the_recursion(spark, bundle, tmp_path):
