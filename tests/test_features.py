@@ -88,6 +88,15 @@ def test_priors_serve_cold_entities(spark):
     assert out["e0000"] == ("peer_prior", 30, .55, 0.0) and out["e0001"][3] == 1.0
 
 
+def test_priors_carry_transfers(spark):
+    train = frame(spark, [{"us": START - 3 * DAY + i * MINUTE, "entity_id": f"t{i}", "device_id": f"t{i}", "event_id": f"t{i}", "is_external_destination": True,
+                           "bytes_uploaded": 900 + 4 * i, "bytes_downloaded": 0} for i in range(50)])
+    live = frame(spark, [{"is_external_destination": True, "bytes_uploaded": size, "bytes_downloaded": 0, "us": START + i * 2 * DAY} for i, size in enumerate((50_000, 2_000))])
+    out = by_id(behaviour_features(live.withColumn("trusted", F.lit(False)), runtime=True, priors=train), "cumulative_external_transfer_24h_zscore")
+    center = mean(900 + 4 * i for i in range(50))
+    assert out["e0000"] == 20 and out["e0001"] == pytest.approx((2_000 - center) / 1000)
+
+
 def brute_profile(events, policy, day, month):
     """Literal replay of bounded profiles of one entity."""
     logs, result = [], {}

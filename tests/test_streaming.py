@@ -83,8 +83,9 @@ def test_batch_of_one_follows_the_recursion(spark, bundle, tmp_path):
         seen[entity] += int(rows[key]["trusted"])
 
 
-def test_incident_stream_matches_batch(spark, tmp_path):
-    rows = [(f"e{i}", f"u{i % 2}", START + i * 4 * MINUTE, 40.0 + i, "brute_force") for i in range(20)]
+@pytest.mark.parametrize("low, step", [(40.0, 1.0), (60.0, .001)])
+def test_incident_stream_matches_batch(spark, tmp_path, low, step):
+    rows = [(f"e{i}", f"u{i % 2}", START + i * 4 * MINUTE, low + i * step, "brute_force") for i in range(20)]
     df = spark.createDataFrame(rows, "event_id string, entity_id string, us bigint, risk_score double, predicted_attack string").withColumn("timestamp", F.timestamp_micros("us"))
     expected = sorted(map(tuple, I.correlate(I.alerting(df, 50.0)).select("incident_key", "event_count", "risk_score", "event_id", "last_us").collect()))
     for cut in (1, 3):

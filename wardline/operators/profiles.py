@@ -163,19 +163,19 @@ def prior_seeds(events: DataFrame) -> DataFrame:
 
 
 def _with_priors(result: DataFrame, priors: DataFrame | None) -> DataFrame:
-    def filled(kind: Column, key: Column, count: Column) -> Column:
+    def filled(kind: Column, key: Column, count: Column, transfers: Column) -> Column:
         return F.struct(kind.alias("baseline_kind"), key.alias("key"), count.cast("long").alias("baseline_count"),
-                        F.lit(0).cast("long").alias("transfer_count"), F.lit(PEER_MINIMUM).alias("minimum"))
+                        transfers.cast("long").alias("transfer_count"), F.lit(PEER_MINIMUM).alias("minimum"))
 
-    none = filled(F.lit("global_default"), F.lit("global:organization"), F.lit(0))
+    none = filled(F.lit("global_default"), F.lit("global:organization"), F.lit(0), F.lit(0))
     if priors is None:
         return result.withColumn("c", F.coalesce("c", none))
-    peer = priors.select(F.col("key").alias("peer_key"), F.col("prior_count").alias("_peer_prior"))
-    world = priors.select(F.col("key").alias("global_key"), F.col("prior_count").alias("_global_prior"))
+    peer = priors.select(F.col("key").alias("peer_key"), F.col("prior_count").alias("_peer_prior"), F.col("prior_transfers").alias("_peer_sent"))
+    world = priors.select(F.col("key").alias("global_key"), F.col("prior_count").alias("_global_prior"), F.col("prior_transfers").alias("_global_sent"))
     joined = result.join(peer, "peer_key", "left").join(world, "global_key", "left")
-    prior = (F.when(F.col("_peer_prior").isNotNull(), filled(F.lit("peer_prior"), F.col("peer_key"), F.col("_peer_prior")))
+    prior = (F.when(F.col("_peer_prior").isNotNull(), filled(F.lit("peer_prior"), F.col("peer_key"), F.col("_peer_prior"), F.col("_peer_sent")))
              .when(F.col("_global_prior").isNotNull(),
-                   filled(F.lit("global_prior"), F.col("global_key"), F.col("_global_prior"))).otherwise(none))
+                   filled(F.lit("global_prior"), F.col("global_key"), F.col("_global_prior"), F.col("_global_sent"))).otherwise(none))
     return joined.withColumn("c", F.coalesce("c", prior))
 
 
@@ -188,9 +188,9 @@ def maturity(kind) -> Column:
 
 
 def bootstrap_priors(events: DataFrame) -> DataFrame:
-    """Size of each peer and organisation profile of the trusted rows."""
+    """Size of each peer and organisation profile of the trusted rows, and how many of its facts are external transfers."""
     facts = fan_out(events.where("trusted")).where(F.col("kind").isin("peer", "global"))
-    return facts.groupBy("key").agg(F.count("*").alias("prior_count"))
+    return facts.groupBy("key").agg(F.count("*").alias("prior_count"), F.count_if("is_external_destination").alias("prior_transfers"))
 
 
 # ---- numeric histories -----------------------------------------------------------------------

@@ -8,6 +8,7 @@ from wardline.functions import scalar as S
 from wardline.operators import daily, drift, evaluate as E, incidents as I, profiles
 from wardline.plans import oracle as O
 from wardline.plans.registry import ALERT, SEVERITY_SQL, d6, events, over_scored, over_t, query, r6, rounded, scored
+from wardline.session import cut_lineage
 
 # ---- incidents ---------------------------------------------------------------------------------------
 
@@ -219,7 +220,7 @@ DAILY_SQL = """days AS MATERIALIZED (SELECT entity_id, CAST(make_timestamp(us) A
 
 
 def daily_rows(spark, d, crowded=daily.CROWDED_DAY):
-    rolled = daily.daily_rollup(scored(spark, d), ["anomaly_score", "deviation"], crowded)
+    rolled = cut_lineage(daily.daily_rollup(scored(spark, d), ["anomaly_score", "deviation"], crowded))  # read several times
     return rolled.select("entity_id", "day", "event_count", F.col("anomaly_score").alias("score"), F.col("deviation").alias("second"), "label")
 
 
@@ -265,11 +266,11 @@ rk AS (SELECT *, 100 * (0.60 * mx + 0.25 * least(dd / 7.0, 1.0) + 0.10 * top3 +
 ranked AS (SELECT *, row_number() OVER (ORDER BY rank_score DESC, mx DESC, dd DESC, entity_id) AS rank FROM rk)"""
 
 
-@query("b05_identity_ranking", over_scored(f""", {RANK_SQL} SELECT entity_id, {d6('rank_score')} AS rank_score, {d6('mx')} AS maximum_drift_30d, dd AS drift_days_30d, run AS consecutive_drift_days, {d6('top3')} AS mean_top_3_drift,
+@query("b05_identity_ranking", over_scored(f""", {RANK_SQL} SELECT entity_id, rank, {d6('rank_score')} AS rank_score, {d6('mx')} AS maximum_drift_30d, dd AS drift_days_30d, run AS consecutive_drift_days, {d6('top3')} AS mean_top_3_drift,
  CAST(last_day AS VARCHAR) AS last_drift_date, {d6('latest_score')} AS latest_score, hit AS has_attack FROM ranked"""))
 def ranking(spark, d):
     ranked = daily.identity_ranking(daily_rows(spark, d), .9, horizon=10)
-    return rounded(ranked.drop("rank").withColumn("last_drift_date", F.col("last_drift_date").cast("string")))
+    return rounded(ranked.withColumn("last_drift_date", F.col("last_drift_date").cast("string")))
 
 
 EVAL_RANK = RANK_SQL.replace("back <= 10", "back <= 30")
@@ -288,12 +289,12 @@ def evaluation(spark, d):
     return rounded(daily.daily_evaluation(daily_rows(spark, d), .9))
 
 
-@query("b07_entity_history", over_scored(f""", {RANK_SQL} SELECT d.entity_id, CAST(d.day AS VARCHAR) AS day, {d6('d.score')} AS score, d.score >= 0.9 AS is_drift_day, d.event_count, {d6('r.rank_score')} AS rank_score
+@query("b07_entity_history", over_scored(f""", {RANK_SQL} SELECT d.entity_id, CAST(d.day AS VARCHAR) AS day, {d6('d.score')} AS score, d.score >= 0.9 AS is_drift_day, d.event_count, r.rank, {d6('r.rank_score')} AS rank_score
  FROM days d JOIN ranked r USING (entity_id) WHERE d.entity_id = 'usr-7'"""))
 def history(spark, d):
     rows = daily_rows(spark, d)
     ranked = daily.identity_ranking(rows, .9, horizon=10)
-    return rounded(daily.entity_history(rows, ranked, "usr-7", .9).drop("rank").withColumn("day", F.col("day").cast("string")))
+    return rounded(daily.entity_history(rows, ranked, "usr-7", .9).withColumn("day", F.col("day").cast("string")))
 
 
 # ---- drift -------------------------------------------------------------------------------------------------

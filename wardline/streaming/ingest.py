@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.scalar import criticality, hour_of_day
+from wardline.functions.scalar import criticality, hour_of_day, python_round
 from wardline.operators import incidents, profiles, validate
 from wardline.operators.features import behaviour_features
 from wardline.operators.windows import Spans
@@ -167,7 +167,7 @@ def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def incident_stream(scored: DataFrame, threshold: float, delay: str = "1 day") -> DataFrame:
     """Quarter-hour incidents as a streaming aggregation for update mode."""
     alerts = incidents.alerting(scored, threshold).withWatermark("timestamp", delay)
-    best = F.min(F.struct((-F.col("risk_score")).alias("minus_risk"), "us", "event_id"))
+    best = F.min(F.struct((-python_round("risk_score", 2)).alias("minus_risk"), "us", "event_id"))
     grouped = alerts.groupBy("entity_id", "predicted_attack", F.window("timestamp", "15 minutes")).agg(
         F.count("*").alias("event_count"), best.alias("anchor"), F.max("us").alias("last_us"))
     bucket = F.floor(F.unix_micros("window.start") / 900_000_000).cast("long")
