@@ -217,3 +217,19 @@ def test_cold_identities_share_device_numbers(spark):
     rows = [{"label": "brute_force", "scenario_id": "x", "device_id": "a", "claimed_device_id": "b"}, {"label": "brute_force", "scenario_id": "x", "device_id": "b", "claimed_device_id": "a", "entity_id": "u2"}]
     out = by_id(corpus.cold_identities(frame(spark, rows)), "entity_id", "device_id", "claimed_device_id")
     assert out == {"e0000": ("cold-x-0", "cold-x-device-0", "cold-x-device-1"), "e0001": ("cold-x-1", "cold-x-device-1", "cold-x-device-0")}
+
+
+def test_replay_counts_late_events(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from wardline.plans import training
+    monkeypatch.setattr(training, "with_anomaly", lambda rows, *_: rows)
+    monkeypatch.setattr(training, "daily_vectors", lambda rows: daily.daily_rollup(rows, ["score"]))
+    monkeypatch.setattr(training, "score_days", lambda days, *_: days)
+    bundle = SimpleNamespace(classifier=SimpleNamespace(raw=lambda rows, _: rows), scaler=None, forests=None, forest_ranges=None, daily_scaler=None, daily=None, daily_threshold=.5)
+    rows = [("a", "u1", START, .2), ("b", "u1", START + DAY, .3), ("c", "u2", START, .4)]
+    kind = "event_id string, entity_id string, us bigint, score double"
+    known, _ = training.replay_ranking(spark.createDataFrame(rows, kind), bundle)
+    late = spark.createDataFrame([*rows, ("d", "u1", START + HOUR, 1.0), ("e", "u2", START + 2 * DAY, .6)], kind)
+    for got, want in zip(training.replay_ranking(late, bundle, known), training.replay_ranking(late, bundle)):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
