@@ -78,15 +78,17 @@ def paragraph_marks(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def colliding(marks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc, at, exact, other, other_at, other_exact): each paragraph with the first and the last document of its band, where they differ.
+    """(doc, at, exact, other, other_at, other_exact): each paragraph with the first and the last document that hold it or share its band.
 
-    A band with many paragraphs gives two rows per paragraph at most, never all pairs; equal paragraphs all meet
-    the band's first document, and one that differs from it may match the last.
+    A band with many paragraphs gives two rows per paragraph at most, never all pairs; one that differs from the
+    band's first document may match the last. Equal paragraphs meet by the hash of their words: overlapping
+    paragraphs of one text can share a band, and its first would hide the others.
     The tables that the rows are read from come with them.
     """
     found, tables = None, []
-    for i in range(BANDS):
-        rows = marks.select("doc", F.explode(F.arrays_zip("at", "exact", F.col(f"band{i}").alias("key"))).alias("p")).select("doc", "p.at", "p.exact", "p.key")
+    for column in ("exact", *[f"band{i}" for i in range(BANDS)]):
+        equal = column == "exact"
+        rows = marks.select("doc", F.explode(F.arrays_zip("at", "exact", F.col(column).alias("key"))).alias("p")).select("doc", "p.at", "p.exact", "p.key")
         ends = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo", "hi")
         shared = write_table(rows.join(ends, F.col("key") == F.col("k")).drop("k"), "bands")
         tables.append(shared)
@@ -94,6 +96,7 @@ def colliding(marks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             centre = shared.filter(F.col("doc") == F.col(end)).groupBy("key").agg(F.min(F.struct("at", "exact")).alias("c")).select(F.col("key").alias("k"), "c")
             pairs = shared.filter(F.col("doc") != F.col(end)).join(centre, F.col("key") == F.col("k")).select(
                 "doc", "at", "exact", F.col(end).alias("other"), F.col("c.at").alias("other_at"), F.col("c.exact").alias("other_exact"))
+            pairs = pairs if equal else pairs.filter("exact <> other_exact")
             found = pairs if found is None else found.unionByName(pairs)
     return found.distinct(), tables
 
@@ -159,8 +162,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count; repeated rows repeat each other. An empty table gives an empty result.
 
     Method: content-anchored paragraphs get MinHash bands; colliding ones are verified, by equal word hashes or
-    exact Jaccard. Paragraphs that match another document in step make a run; runs that show less than PASSAGE
-    words are compared with their surroundings. Clusters are connected components.
+    exact Jaccard. Paragraphs that match another document in step make a run; both ends of a run are compared
+    with their surroundings, so that it takes in all equal words. Clusters are connected components.
     """
     src = source_rows(docs, id=id_col, text=text_col)
     marks = paragraph_marks(src, seed)
@@ -178,9 +181,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     long = runs.filter(F.col("high") - F.col("low") + PARAGRAPH >= PASSAGE).select(
         "doc", F.col("low").cast("long").alias("start"), (F.col("high") + PARAGRAPH).cast("long").alias("stop"), "other",
         (F.col("low") - F.col("shift")).cast("long").alias("other_start"), (F.col("high") + PARAGRAPH - F.col("shift")).cast("long").alias("other_stop"))
-    short = runs.filter(F.col("high") - F.col("low") + PARAGRAPH < PASSAGE).select("doc", F.col("low").alias("at"), "other", (F.col("low") - F.col("shift")).alias("other_at"))
+    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("at")  # a run's outer paragraphs show how far it goes on
+    outer = runs.select("doc", "other", "shift", ends).select("doc", "at", "other", (F.col("at") - F.col("shift")).alias("other_at"))
     alike = pairs.filter("exact <> other_exact").select("doc", "at", "other", "other_at")
-    unsure = write_table(short.unionByName(alike), "unsure")
+    unsure = write_table(outer.unionByName(alike), "unsure")
     wanted = unsure.select("doc", "at").unionByName(unsure.select(F.col("other").alias("doc"), F.col("other_at").alias("at"))).distinct()
     with arrow_batches(docs.sparkSession):
         near = write_table(_contexts(places, src.select(*LOCATOR, "text"), wanted), "contexts")
