@@ -136,6 +136,23 @@ def _met_before(leaf: int, leaves: list[list[int]]) -> np.ndarray | None:
     return member @ member.T > 0
 
 
+def _with_partner(tokens: np.ndarray, pairs: np.ndarray, least: float) -> np.ndarray:
+    """Which rows agree with a partner of theirs in `pairs` (symmetric) at `least` positions; few pairs are compared one by one."""
+    found = np.zeros(len(tokens), dtype=bool)
+    if pairs.sum() * 16 < pairs.size:
+        one, two = np.nonzero(np.triu(pairs))
+        alike = (tokens[one] == tokens[two]).sum(axis=1) >= least
+        found[one[alike]] = found[two[alike]] = True
+        return found
+    rows = np.flatnonzero(pairs.any(axis=1))
+    block = np.ascontiguousarray(tokens[rows].T)
+    same = np.zeros((len(rows), len(rows)), dtype=np.uint8)
+    for column in block:
+        same += column[:, None] == column[None, :]
+    found[rows] = ((same >= least) & pairs[np.ix_(rows, rows)]).any(axis=1)
+    return found
+
+
 def likely_rows(tiled: DataFrame, threshold: float) -> DataFrame:
     """The rows of `tiled` that have a partner, not met in another bucket, whose estimated similarity may reach the threshold."""
     least = threshold - MARGIN
@@ -149,14 +166,11 @@ def likely_rows(tiled: DataFrame, threshold: float) -> DataFrame:
             for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
                 if e <= s + 1:
                     continue
-                block = tokens[s:e]
-                same = np.zeros((e - s, e - s), dtype=np.uint8)
-                for j in range(TOKENS):
-                    same += block[:, j][:, None] == block[:, j][None, :]
-                likely = (same >= least * TOKENS) & _considered(tile[s:e], lo[s], hi[s])
-                if likely.any():
-                    met = _met_before(leaf[s], leaves.slice(s, e - s).to_pylist())
-                    keep[s:e] = (likely if met is None else likely & ~met).any(axis=1)
+                met = _met_before(leaf[s], leaves.slice(s, e - s).to_pylist())
+                pairs = _considered(tile[s:e], lo[s], hi[s])
+                if met is not None:
+                    pairs &= ~met
+                keep[s:e] = _with_partner(tokens[s:e], pairs, least * TOKENS)
             yield from table.filter(pa.array(keep)).select(["leaf", "digest", "tile", "lo", "hi", "copies", "leaves"]).to_batches()
 
     return _grouped(tiled).mapInArrow(run, "leaf bigint, digest binary, tile int, lo int, hi int, copies bigint, leaves array<bigint>")
