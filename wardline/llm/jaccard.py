@@ -95,7 +95,24 @@ def chosen_path_buckets(sets: DataFrame, threshold: float, recall: float, seed:
     mark = [F.sum(F.xxhash64(F.lit(s), "digest").cast("decimal(38,0)")).alias(f"mark{s}") for s in (1, 2)]
     shapes = closed.groupBy("leaf", "size").agg(*mark)
     single = shapes.groupBy("size", "mark1", "mark2").agg(F.min("leaf").alias("of"))
-    return closed.join(single.select("of"), F.col("leaf") == F.col("of")).select("leaf", "digest", "size")
+    return _united(write_table(closed.join(single.select("of"), F.col("leaf") == F.col("of")).select("leaf", "digest", "size"), "closed"))
+
+
+def _united(buckets: DataFrame) -> DataFrame:
+    """`buckets` with those larger than a tile put together where they hold much the same rows.
+
+    A group of near copies fills a bucket in each run. A bucket takes the number of another one if that is the
+    first large bucket of over half of its rows: all its rows go there, so no pair is lost, and the group's pairs
+    are compared once instead of once a run.
+    """
+    large, small = buckets.filter(F.col("size") > TILE_ROWS), buckets.filter(F.col("size") <= TILE_ROWS)
+    first = large.groupBy("digest").agg(F.min("leaf").alias("first")).select(F.col("digest").alias("d"), "first")
+    votes = large.join(first, F.col("digest") == F.col("d")).groupBy("leaf", "first").agg(F.count(F.lit(1)).alias("votes"), F.max("size").alias("size"))
+    moves = votes.filter(F.col("votes") * 2 > F.col("size")).select(F.col("leaf").alias("of"), F.col("first").alias("to"))
+    moved = large.join(moves, F.col("leaf") == F.col("of"), "left").select(F.coalesce("to", "leaf").alias("leaf"), "digest")
+    moved = write_table(moved.distinct(), "united")
+    sizes = moved.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).select(F.col("leaf").alias("of"), "size")
+    return small.unionByName(moved.join(sizes, F.col("leaf") == F.col("of")).select("leaf", "digest", "size"))
 
 
 def _tiled(buckets: DataFrame, sets: DataFrame) -> DataFrame:
