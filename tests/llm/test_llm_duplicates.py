@@ -113,6 +113,28 @@ def test_passages_match_brute_force(spark):
         assert [m["id"] for m in members if not m["removed"]] == [min(m["id"] for m in members)]
 
 
+def kept_words(rows, found):
+    """The words that stay of each document, as text."""
+    left = {}
+    for i, text, *_ in rows:
+        gone = {k for r in found if r["id"] == i and r["removed"] for k in range(r["start"], r["stop"])}
+        left[i] = " ".join(w for k, w in enumerate(text.split()) if k not in gone)
+    return left
+
+
+def test_copies_that_share_a_passage_keep_their_own_text(spark):
+    rng = random.Random(21)
+    p, q, u, v = (sentence(rng, n) for n in (70, 80, 90, 60))
+    whole = f"{u} {p} {v}"
+    rows = [(1, p, "en", "a"), (2, whole, "en", "a"), (3, whole, "en", "a")]
+    left = kept_words(rows, repeated_passages(documents(spark, rows)).collect())
+    assert left == {1: p, 2: f"{u} {v}", 3: ""}
+    rows = [(1, p, "en", "a"), (2, f"{p} {q}", "en", "a"), (3, q, "en", "a")]  # adjacent passages
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert kept_words(rows, found) == {1: p, 2: q, 3: ""}
+    assert {r["cluster"] for r in found if r["id"] == 1}.isdisjoint({r["cluster"] for r in found if r["id"] == 3})
+
+
 def test_passages_odd_rows_and_removal(odd, none):
     found = repeated_passages(odd)
     assert {r["id"] for r in found.collect()} == {4, None, 6, 7}  # the copy in 5 is changed every few words

@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding."""
+"""Repeated passages: equal windows of words, and paragraph MinHash banding for similar ones."""
 
 from __future__ import annotations
 
@@ -11,208 +11,124 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import FILE, LOCATOR, ROW, arrow_batches, drop_table, source_rows, write_table
-from wardline.llm.components import components
-from wardline.llm.textkit import U, mix, multipliers, rolled, word_spans, words
+from wardline.llm.textkit import U, rolled, word_spans, words
 
 PASSAGE = 51  # words: passages of over 50 words
-PARAGRAPH = 24  # words of an anchored paragraph
+PARAGRAPH = 24  # words of an anchor
 SPREAD = PASSAGE - PARAGRAPH + 1  # among so many starts in a row one is an anchor
-SHINGLE, BANDS, DEPTH = 5, 2, 2
-SIMILAR = 0.8
-CONTEXT = PASSAGE - PARAGRAPH  # words on each side that decide whether a paragraph is part of a passage
+SHINGLE = 5
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Word offsets of the paragraphs of a text: in each SPREAD starts in a row the one with the least shingle hash.
+def window_anchors(hashes: np.ndarray) -> np.ndarray:
+    """For each window of PASSAGE words the word offset of its anchor: of the PARAGRAPH words in it those with the least shingle hash.
 
-    The choice depends on the words of a passage alone, so every copy of a passage of PASSAGE words has a
-    paragraph at the same word. A paragraph that occurs again in the text is taken once.
+    The choice depends on the words of the window alone, so every copy of it has its anchor at the same word.
     """
     count = len(hashes) - PARAGRAPH + 1
-    if count < 1:
+    if count < SPREAD:
         return np.zeros(0, dtype=np.int64)
     order = rolled(hashes, SHINGLE)[:count]
-    if count < SPREAD:
-        return np.array([int(order.argmin())])
     least = np.lib.stride_tricks.sliding_window_view(order, SPREAD).argmin(axis=1)
-    return np.unique(np.arange(len(least)) + least)
+    return np.arange(len(least)) + least
 
 
-def paragraph_marks(rows: DataFrame, seed: int) -> DataFrame:
-    """One row per text: locator, id, `doc` (a number), and for its paragraphs `at`, `exact` (hash of the words), `bands` of MinHash values."""
-    a, b = multipliers(BANDS * DEPTH, seed)
+def anchor_marks(rows: DataFrame) -> DataFrame:
+    """One row per text: locator, id, `doc` (a number) and `keys`, the hashes of its anchors' words."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            at, exact, bands = [], [], [[] for _ in range(BANDS)]
+            keys = []
             for text in batch.column(3).to_pylist():
                 hashes = words(text or "")
-                spots = anchors(hashes)
-                whole = rolled(hashes, PARAGRAPH)[spots] if len(spots) else np.zeros(0, dtype=U)
-                whole, first = np.unique(whole, return_index=True)
-                spots = spots[first]
-                at.append(spots.astype(np.int32))
-                exact.append(whole.view(np.int64))
-                if len(spots):
-                    grams = rolled(hashes, SHINGLE)[spots[:, None] + np.arange(PARAGRAPH - SHINGLE + 1)]
-                    least = np.stack([mix(grams * a[j] + b[j]).min(axis=1) for j in range(BANDS * DEPTH)])
-                for i in range(BANDS):
-                    key = np.zeros(0, dtype=U)
-                    if len(spots):
-                        key = np.full(len(spots), i + 1, dtype=U)
-                        for j in range(DEPTH):
-                            key = mix(key + least[i * DEPTH + j])
-                    bands[i].append(key.view(np.int64))
+                spots = np.unique(window_anchors(hashes))
+                keys.append(np.unique(rolled(hashes, PARAGRAPH)[spots]).view(np.int64) if len(spots) else np.zeros(0, dtype=np.int64))
             docs = np.arange(number, number + batch.num_rows, dtype=np.int64)
             number += batch.num_rows
-            long = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(docs), pa.array(at, pa.list_(pa.int32())), pa.array(exact, long), *[pa.array(x, long) for x in bands]],
-                names=[FILE, ROW, "id", "doc", "at", "exact", *[f"band{i}" for i in range(BANDS)]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(docs), pa.array(keys, pa.list_(pa.int64()))], names=[FILE, ROW, "id", "doc", "keys"])
 
-    schema = f"{FILE} string, {ROW} bigint, id {kind}, doc bigint, at array<int>, exact array<bigint>, " + ", ".join(f"band{i} array<bigint>" for i in range(BANDS))
     with arrow_batches(rows.sparkSession):
-        return write_table(rows.select(FILE, ROW, "id", "text").mapInArrow(run, schema), "marks")
+        return write_table(rows.select(FILE, ROW, "id", "text").mapInArrow(run, f"{FILE} string, {ROW} bigint, id {kind}, doc bigint, keys array<bigint>"), "marks")
 
 
-def colliding(marks: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc, at, exact, other, other_at, other_exact): each paragraph with the first and the last document that hold it or share its band.
+def ranked_places(marks: DataFrame) -> DataFrame:
+    """Locator, id, `doc` and `rank`: a number that grows with the id (nulls last), then with the place."""
+    order = [F.col("id").asc_nulls_last(), F.col(FILE), F.col(ROW)]
+    ranged = marks.select(*LOCATOR, "id", "doc").repartitionByRange(*order).sortWithinPartitions(*order)
+    return write_table(ranged.withColumn("rank", F.monotonically_increasing_id()), "places")
 
-    A band with many paragraphs gives two rows per paragraph at most, never all pairs; one that differs from the
-    band's first document may match the last. Equal paragraphs meet by the hash of their words: overlapping
-    paragraphs of one text can share a band, and its first would hide the others.
-    The tables that the rows are read from come with them.
-    """
-    found, tables = None, []
-    for column in ("exact", *[f"band{i}" for i in range(BANDS)]):
-        equal = column == "exact"
-        rows = marks.select("doc", F.explode(F.arrays_zip("at", "exact", F.col(column).alias("key"))).alias("p")).select("doc", "p.at", "p.exact", "p.key")
-        ends = rows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(F.col("key").alias("k"), "lo", "hi")
-        shared = write_table(rows.join(ends, F.col("key") == F.col("k")).drop("k"), "bands")
-        tables.append(shared)
-        for end in ("lo", "hi"):
-            centre = shared.filter(F.col("doc") == F.col(end)).groupBy("key").agg(F.min(F.struct("at", "exact")).alias("c")).select(F.col("key").alias("k"), "c")
-            pairs = shared.filter(F.col("doc") != F.col(end)).join(centre, F.col("key") == F.col("k")).select(
-                "doc", "at", "exact", F.col(end).alias("other"), F.col("c.at").alias("other_at"), F.col("c.exact").alias("other_exact"))
-            pairs = pairs if equal else pairs.filter("exact <> other_exact")
-            found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct(), tables
-
-
-def _contexts(places: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, at, begin, near): the words around each wanted paragraph, from `begin`, as hashes of 32 bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, spots, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                hashes = words(text or "").astype(np.uint32)
-                for at in spots:
-                    begin = max(0, at - CONTEXT)
-                    for column, value in zip(out, (doc, at, begin, hashes[begin:at + PARAGRAPH + CONTEXT].tobytes()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["doc", "at", "begin", "near"])
-
-    spots = wanted.groupBy("doc").agg(F.collect_set("at").alias("spots"))  # at most a text's paragraphs
-    placed = spots.join(places.select(F.col("doc").alias("d"), F.col(FILE).alias("f"), F.col(ROW).alias("r")), F.col("doc") == F.col("d"))
-    read = texts.join(placed, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("doc", "spots", "text")
-    return read.mapInArrow(run, "doc bigint, at int, begin int, near binary")
-
-
-def _grown(pairs: DataFrame) -> DataFrame:
-    """(doc, start, stop, other, other_start, other_stop) of the pairs of paragraphs that verify and grow to a passage.
-
-    Verified: the Jaccard similarity of the shingles is SIMILAR or more. Grown: with the equal words on both
-    sides they make PASSAGE words.
-    """
+def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, doc, at): each window of PASSAGE words whose anchor is among the `keys` of its document, at every place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, at, begin, near, other, other_at, other_begin, other_near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = (np.frombuffer(raw, dtype=np.uint32).astype(U) for raw in (near, other_near))
-                i, j = at - begin, other_at - other_begin
-                p, q = x[i:i + PARAGRAPH], y[j:j + PARAGRAPH]
-                if not np.array_equal(p, q):
-                    s, t = set(rolled(p, SHINGLE).tolist()), set(rolled(q, SHINGLE).tolist())
-                    if len(s & t) < SIMILAR * len(s | t):
-                        continue
-                left = right = 0
-                while left < min(i, j) and x[i - left - 1] == y[j - left - 1]:
-                    left += 1
-                while i + PARAGRAPH + right < len(x) and j + PARAGRAPH + right < len(y) and x[i + PARAGRAPH + right] == y[j + PARAGRAPH + right]:
-                    right += 1
-                if left + PARAGRAPH + right >= PASSAGE:
-                    out.append((doc, at - left, at + PARAGRAPH + right, other, other_at - left, other_at + PARAGRAPH + right))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "stop", "other", "other_start", "other_stop"])
-
-    return pairs.mapInArrow(run, "doc bigint, start bigint, stop bigint, other bigint, other_start bigint, other_stop bigint")
+            for doc, keys, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                hashes = words(text or "")
+                shared = np.isin(rolled(hashes, PARAGRAPH).view(np.int64), np.array(keys, dtype=np.int64))
+                at = np.flatnonzero(shared[window_anchors(hashes)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rolled(hashes, PASSAGE)[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int64))], names=["hash", "doc", "at"])
+
+    placed = wanted.select("rank", "keys", F.col(FILE).alias("f"), F.col(ROW).alias("r"))
+    read = texts.join(placed, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("rank", "keys", "text")
+    return read.mapInArrow(run, "hash bigint, doc bigint, at bigint")
+
+
+def equal_runs(windows: DataFrame) -> DataFrame:
+    """(doc, start, stop, cluster, removed): the runs of windows that other documents hold too.
+
+    A window is kept where its document has the smallest number, at its first place there; a place in the same
+    document that overlaps that one stays as well. Neighbouring windows make a run while they have the same
+    holders at the same distances, so the runs of all holders are cut at the same words.
+    """
+    mark = F.xxhash64("doc")
+    holders = windows.groupBy("hash").agg(
+        F.min(F.struct("doc", "at")).alias("keeper"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("at").alias("ats"),
+        F.bit_xor(mark).alias("odd"), F.sum(F.pmod(mark, F.lit(1 << 30))).alias("all"))
+    shared = holders.filter(F.col("keeper.doc") < F.col("last")).select(
+        F.col("hash").alias("h"), F.col("keeper.doc").alias("k_doc"), F.col("keeper.at").alias("k_at"), "n", "ats", F.xxhash64("odd", "all", "n", "last").alias("who"))
+    rows = windows.join(shared, F.col("hash") == F.col("h")).select("doc", "at", "k_doc", "k_at", "n", "ats", "who")
+    in_doc = Window.partitionBy("doc").orderBy("at")  # at most a text's words
+    steps = {"at": F.lit(1), "k_doc": F.lit(0), "k_at": F.lit(1), "ats": F.col("n")}
+    follows = F.lag("who").over(in_doc) == F.col("who")
+    for name, step in steps.items():
+        follows &= F.lag(name).over(in_doc) == F.col(name) - step
+    numbered = rows.withColumn("fresh", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("fresh").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc", "run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.min("k_at").alias("k_at"), F.first("k_doc").alias("k_doc"), F.first("who").alias("who"))
+    stays = (F.col("doc") == F.col("k_doc")) & (F.col("start") - F.col("k_at") < PASSAGE)
+    return runs.select("doc", "start", (F.col("end") + PASSAGE).alias("stop"), F.xxhash64("k_doc", "k_at", "who").alias("cluster"), (~stays).alias("removed"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """One row per repeated passage of a document: locator, id, `start`, `stop` (words), `cluster`, `removed`.
 
     A passage is a run of PASSAGE words or more that other documents hold too (words are lower-cased runs of
-    letters and digits). Overlapping runs of a document are one passage. Passages that repeat each other
-    form clusters; in a cluster the passage of the smallest id stays (nulls last) and the others are `removed`.
+    letters and digits). A document's passages are cut where the set of their holders changes, so passages may
+    overlap; the passages of a `cluster` are equal. The one of the smallest id stays (nulls last) and the others
+    are `removed`, further places in one document included. So every removed word stands, in the same passage,
+    in a document of smaller id or earlier in its own, and at last in one place where it stays.
     Texts without repeats, null, empty and short ones have no row; repeats within one document alone do not
     count; repeated rows repeat each other. An empty table gives an empty result.
 
-    Method: content-anchored paragraphs get MinHash bands; colliding ones are verified, by equal word hashes or
-    exact Jaccard. Paragraphs that match another document in step make a run; both ends of a run are compared
-    with their surroundings, so that it takes in all equal words. Clusters are connected components.
+    Method: each window of PASSAGE words has an anchor of PARAGRAPH words that its own words choose. Windows
+    whose anchor occurs in one document only cannot repeat; all others meet by the hash of their words.
     """
     src = source_rows(docs, id=id_col, text=text_col)
-    marks = paragraph_marks(src, seed)
-    places = write_table(marks.select(*LOCATOR, "id", "doc"), "places")
-    found, bands = colliding(marks)
-    pairs = write_table(found, "pairs")
-    for done in (marks, *bands):
-        drop_table(done)
-    same = pairs.filter("exact = other_exact").withColumn("shift", F.col("at") - F.col("other_at"))
-    step = Window.partitionBy("doc", "other", "shift").orderBy("at")  # at most a text's paragraphs
-    same = same.withColumn("fresh", F.coalesce((F.col("at") - F.lag("at").over(step) > SPREAD).cast("int"), F.lit(0)))
-    same = same.withColumn("run", F.sum("fresh").over(step.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = same.groupBy("doc", "other", "shift", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    runs = write_table(runs, "runs")
-    long = runs.filter(F.col("high") - F.col("low") + PARAGRAPH >= PASSAGE).select(
-        "doc", F.col("low").cast("long").alias("start"), (F.col("high") + PARAGRAPH).cast("long").alias("stop"), "other",
-        (F.col("low") - F.col("shift")).cast("long").alias("other_start"), (F.col("high") + PARAGRAPH - F.col("shift")).cast("long").alias("other_stop"))
-    ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("at")  # a run's outer paragraphs show how far it goes on
-    outer = runs.select("doc", "other", "shift", ends).select("doc", "at", "other", (F.col("at") - F.col("shift")).alias("other_at"))
-    alike = pairs.filter("exact <> other_exact").select("doc", "at", "other", "other_at")
-    unsure = write_table(outer.unionByName(alike), "unsure")
-    wanted = unsure.select("doc", "at").unionByName(unsure.select(F.col("other").alias("doc"), F.col("other_at").alias("at"))).distinct()
+    marks = anchor_marks(src)
+    places = ranked_places(marks)
+    keys = marks.select("doc", F.explode("keys").alias("key"))  # each key once a document
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"))
+    wanted = write_table(keys.join(shared, F.col("key") == F.col("k")).groupBy("doc").agg(F.collect_list("key").alias("keys")), "wanted")
+    drop_table(marks)
+    placed = wanted.join(places.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
     with arrow_batches(docs.sparkSession):
-        near = write_table(_contexts(places, src.select(*LOCATOR, "text"), wanted), "contexts")
-    mine = near.select(F.col("doc").alias("d1"), F.col("at").alias("a1"), "begin", "near")
-    theirs = near.select(F.col("doc").alias("d2"), F.col("at").alias("a2"), F.col("begin").alias("other_begin"), F.col("near").alias("other_near"))
-    full = unsure.join(mine, (F.col("doc") == F.col("d1")) & (F.col("at") == F.col("a1"))).join(theirs, (F.col("other") == F.col("d2")) & (F.col("other_at") == F.col("a2")))
-    with arrow_batches(docs.sparkSession, 4000):
-        grown = write_table(_grown(full.select("doc", "at", "begin", "near", "other", "other_at", "other_begin", "other_near")), "grown")
-    drop_table(near)
-    matches = write_table(long.unionByName(grown), "matches")
-    sides = matches.select("doc", "start", "stop").unionByName(matches.select(F.col("other").alias("doc"), F.col("other_start").alias("start"), F.col("other_stop").alias("stop"))).distinct()
-    in_doc = Window.partitionBy("doc").orderBy("start", "stop")
-    reach = F.max("stop").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    opened = sides.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    numbered = opened.withColumn("number", F.sum("fresh").over(in_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    node = F.concat_ws(":", F.col("doc").cast("string"), F.col("number").cast("string"))
-    numbered = write_table(numbered.select("doc", "start", "stop", node.alias("node")), "sides")
-    spans = numbered.groupBy("node").agg(F.first("doc").alias("doc"), F.min("start").alias("start"), F.max("stop").alias("stop"))
-    left = numbered.select(F.col("doc").alias("d1"), F.col("start").alias("s1"), F.col("stop").alias("e1"), F.col("node").alias("a"))
-    right = numbered.select(F.col("doc").alias("d2"), F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("node").alias("b"))
-    edges = matches.join(left, (F.col("doc") == F.col("d1")) & (F.col("start") == F.col("s1")) & (F.col("stop") == F.col("e1")))
-    edges = edges.join(right, (F.col("other") == F.col("d2")) & (F.col("other_start") == F.col("s2")) & (F.col("other_stop") == F.col("e2"))).select("a", "b")
-    roots = components(edges)
-    placed = spans.join(roots, "node").join(places.select(*LOCATOR, "id", F.col("doc").alias("d")), F.col("doc") == F.col("d"))
-    rank = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col(FILE).alias("file"), F.col(ROW).alias("row"), F.col("start").alias("start"))
-    placed = write_table(placed.select(*LOCATOR, "id", "start", "stop", F.xxhash64("root").alias("cluster"), "root", rank.alias("rank")), "passages")
-    stays = placed.groupBy("root").agg(F.min("rank").alias("first")).select(F.col("root").alias("c"), "first")
-    return placed.join(stays, F.col("root") == F.col("c")).select(*LOCATOR, "id", "start", "stop", "cluster", (F.col("rank") != F.col("first")).alias("removed"))
+        windows = write_table(_windows(src.select(*LOCATOR, "text"), placed), "windows")
+    drop_table(wanted)
+    runs = write_table(equal_runs(windows), "runs")
+    drop_table(windows)
+    return runs.join(places.select(*LOCATOR, "id", "rank"), F.col("doc") == F.col("rank")).select(*LOCATOR, "id", "start", "stop", "cluster", "removed")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -234,7 +150,7 @@ def without_passages(docs: DataFrame, passages: DataFrame, text_col: str = "text
             body, out, last = text.encode("utf-8", "surrogatepass"), [], 0
             for span in spans:
                 out.append(body[last:int(begin[span["start"]])])
-                last = int(end[span["stop"] - 1])
+                last = max(last, int(end[span["stop"] - 1]))
             return b"".join([*out, body[last:]]).decode("utf-8", "surrogatepass")
 
         return texts.combine(cuts, one)
