@@ -135,6 +135,16 @@ def test_copies_that_share_a_passage_keep_their_own_text(spark):
     assert {r["cluster"] for r in found if r["id"] == 1}.isdisjoint({r["cluster"] for r in found if r["id"] == 3})
 
 
+def test_passage_whose_anchor_others_hold_too(spark):
+    rng = random.Random(22)
+    head = sentence(rng, 24)
+    passage = f"{head} {sentence(rng, 27)}"
+    rows = [(i, f"{sentence(rng, 40)} {head} {sentence(rng, 40)}", "en", "a") for i in (1, 9)]
+    rows += [(i, f"{sentence(rng, 40)} {passage} {sentence(rng, 40)}", "en", "a") for i in (5, 6)]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert sorted((r["id"], r["start"], r["stop"], r["removed"]) for r in found) == [(5, 40, 91, False), (6, 40, 91, True)]
+
+
 def test_passages_odd_rows_and_removal(odd, none):
     found = repeated_passages(odd)
     assert {r["id"] for r in found.collect()} == {4, None, 6, 7}  # the copy in 5 is changed every few words
