@@ -145,6 +145,18 @@ def test_passage_whose_anchor_others_hold_too(spark):
     assert sorted((r["id"], r["start"], r["stop"], r["removed"]) for r in found) == [(5, 40, 91, False), (6, 40, 91, True)]
 
 
+def test_passage_held_twice_by_a_document(spark):
+    rng = random.Random(23)
+    passage = sentence(rng, 60)
+    twice = f"{' '.join(passage.split()[:30])} {sentence(rng, 20)} {passage} {sentence(rng, 20)} {passage}"
+    rows = [(1, f"{sentence(rng, 10)} {passage}", "en", "a"), (2, twice, "en", "a"), (3, f"{passage} {sentence(rng, 9)} {passage}", "en", "a")]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert sorted((r["id"], r["start"], r["stop"], r["removed"]) for r in found) == [
+        (1, 10, 70, False), (2, 50, 110, True), (2, 130, 190, True), (3, 0, 60, True), (3, 69, 129, True)]
+    alone = repeated_passages(documents(spark, rows[2:])).collect()
+    assert not alone
+
+
 def test_passages_odd_rows_and_removal(odd, none):
     found = repeated_passages(odd)
     assert {r["id"] for r in found.collect()} == {4, None, 6, 7}  # the copy in 5 is changed every few words
