@@ -157,6 +157,13 @@ def test_passage_held_twice_by_a_document(spark):
     assert not alone
 
 
+def test_words_that_differ_break_a_passage(spark):
+    rng = random.Random(24)
+    one, two = sentence(rng, 24), sentence(rng, 24)
+    rows = [(i, f"{one} name{i} number{i} date{i} {two}", "en", "a") for i in range(12)]
+    assert not repeated_passages(documents(spark, rows)).collect()
+
+
 def test_passages_odd_rows_and_removal(odd, none):
     found = repeated_passages(odd)
     assert {r["id"] for r in found.collect()} == {4, None, 6, 7}  # the copy in 5 is changed every few words
