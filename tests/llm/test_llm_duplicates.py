@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from wardline.llm import jaccard
+from wardline.llm import jaccard, substring
 from wardline.llm.components import components
 from wardline.llm.jaccard import jaccard_classes, keep_representatives
 from wardline.llm.substring import PASSAGE, repeated_passages, without_passages
@@ -164,6 +164,34 @@ def test_words_that_differ_break_a_passage(spark):
     assert not repeated_passages(documents(spark, rows)).collect()
 
 
+def test_similar_paragraphs_match_brute_force(spark, monkeypatch):
+    rng = random.Random(25)
+    rows, lines = [], []
+    for _ in range(12):
+        base = sentence(rng, rng.randrange(60, 130)).split()
+        for _ in range(rng.randrange(2, 14)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            lines.append(" ".join(copy))
+    base = sentence(rng, 100).split()
+    for one, two in (("x1", "x2"), ("y1", "y2")):  # two words changed at a third and two thirds
+        lines.append(" ".join([*base[:33], one, *base[34:66], two, *base[67:]]))
+    rng.shuffle(lines)
+    for i, line in enumerate(lines):
+        rows.append((i, f"{sentence(rng, 20)}\n{line}\n{sentence(rng, 20)}", "en", "a"))
+    sets = [set(shingles(x).tolist()) for x in lines]
+    near = {i: [j for j in range(len(sets)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(sets))}
+    pairs = [i for i in near if near[i]]
+    equal = substring.equal_runs
+    monkeypatch.setattr(substring, "equal_runs", lambda windows: equal(windows).filter("false"))
+    for tile in (substring.TILE_ROWS, 3):
+        monkeypatch.setattr(substring, "TILE_ROWS", tile)
+        found = repeated_passages(documents(spark, rows)).collect()
+        assert len(pairs) > 40 and sorted(r["id"] for r in found) == pairs
+        assert {r["id"] for r in found if r["removed"]} == {i for i in near if near[i] and min(near[i]) < i}
+
+
 def test_passages_odd_rows_and_removal(odd, none):
     found = repeated_passages(odd)
     assert {r["id"] for r in found.collect()} == {4, None, 6, 7}  # the copy in 5 is changed every few words

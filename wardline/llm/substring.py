@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import FILE, LOCATOR, ROW, arrow_batches, drop_table, source_rows, write_table
-from wardline.llm.textkit import U, rolled, word_spans, words
+from wardline.llm.components import components
+from wardline.llm.jaccard import _considered, _grouped, _overlaps
+from wardline.llm.textkit import U, mix, multipliers, rolled, smallest_labels, sorted_groups, span_hashes, word_spans, words
 
 PASSAGE = 51  # words: passages of over 50 words
 PARAGRAPH = 24  # words of an anchor
 SPREAD = PASSAGE - PARAGRAPH + 1  # among so many starts in a row one is an anchor
-SHINGLE = 5
+SHINGLE, BANDS, DEPTH = 5, 12, 4  # a pair of paragraphs with Jaccard 0.8 shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998
+SIMILAR = 0.8
+TILE_ROWS, TILE_ITEMS = 1536, 500_000  # paragraphs of a band that are compared at once, and their shingles
 
 
 def window_anchors(hashes: np.ndarray) -> np.ndarray:
@@ -32,24 +36,54 @@ def window_anchors(hashes: np.ndarray) -> np.ndarray:
     return np.arange(len(least)) + least
 
 
-def anchor_marks(rows: DataFrame) -> DataFrame:
-    """One row per text: locator, id, `doc` (a number) and `keys`, the hashes of its anchors' words."""
+def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of a text, and (start, stop) of its paragraphs: lines of PASSAGE words or more."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    begin, end = word_spans(raw)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(raw == 10)), [len(begin)]]))
+    start, stop = cuts[:-1], cuts[1:]
+    long = stop - start >= PASSAGE
+    return span_hashes(raw, begin, end), start[long], stop[long]
+
+
+def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a paragraph, each of DEPTH MinHash values of its shingles."""
+    items = rolled(hashes, SHINGLE)
+    least = np.full(len(a), np.iinfo(U).max, dtype=U)
+    for i in range(0, len(items), 512):
+        least = np.minimum(least, mix(items[i:i + 512, None] * a + b).min(axis=0))
+    least = least.reshape(BANDS, DEPTH)
+    key = np.arange(1, BANDS + 1, dtype=U)
+    for j in range(DEPTH):
+        key = mix(key + least[:, j])
+    return key.view(np.int64)
+
+
+def text_marks(rows: DataFrame, seed: int) -> DataFrame:
+    """One row per text: locator, id, `doc` (a number), `keys`, the hashes of its anchors' words, and its paragraphs with the hash of their words and their bands."""
+    a, b = multipliers(BANDS * DEPTH, seed)
     kind = rows.schema["id"].dataType.simpleString()
+    part = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("exact", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            keys = []
+            keys, parts = [], []
             for text in batch.column(3).to_pylist():
-                hashes = words(text or "")
+                hashes, starts, stops = paragraphs(text or "")
                 spots = np.unique(window_anchors(hashes))
                 keys.append(np.unique(rolled(hashes, PARAGRAPH)[spots]).view(np.int64) if len(spots) else np.zeros(0, dtype=np.int64))
+                parts.append([
+                    {"start": int(i), "stop": int(j), "exact": int(rolled(hashes[i:j], int(j - i)).view(np.int64)[0]), "bands": band_keys(hashes[i:j], a, b)}
+                    for i, j in zip(starts, stops, strict=True)])
             docs = np.arange(number, number + batch.num_rows, dtype=np.int64)
             number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(docs), pa.array(keys, pa.list_(pa.int64()))], names=[FILE, ROW, "id", "doc", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(docs), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.list_(part))], names=[FILE, ROW, "id", "doc", "keys", "paragraphs"])
 
+    schema = f"{FILE} string, {ROW} bigint, id {kind}, doc bigint, keys array<bigint>, paragraphs array<struct<start: bigint, stop: bigint, exact: bigint, bands: array<bigint>>>"
     with arrow_batches(rows.sparkSession):
-        return write_table(rows.select(FILE, ROW, "id", "text").mapInArrow(run, f"{FILE} string, {ROW} bigint, id {kind}, doc bigint, keys array<bigint>"), "marks")
+        return write_table(rows.select(FILE, ROW, "id", "text").mapInArrow(run, schema), "marks")
 
 
 def ranked_places(marks: DataFrame) -> DataFrame:
@@ -59,21 +93,29 @@ def ranked_places(marks: DataFrame) -> DataFrame:
     return write_table(ranged.withColumn("rank", F.monotonically_increasing_id()), "places")
 
 
-def _windows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(hash, doc, at): each window of PASSAGE words whose anchor is among the `keys` of its document, at every place."""
+def _read_again(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(hash, doc, at, items): what is wanted of a text.
+
+    Each window of PASSAGE words whose anchor is among its `keys`, at every place, without items; and of each
+    of its `spans` the shingle hashes in order, under the span's hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, keys, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, keys, spans, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 hashes = words(text or "")
-                shared = np.isin(rolled(hashes, PARAGRAPH).view(np.int64), np.array(keys, dtype=np.int64))
+                shared = np.isin(rolled(hashes, PARAGRAPH).view(np.int64), np.array(keys or [], dtype=np.int64))
                 at = np.flatnonzero(shared[window_anchors(hashes)])
+                spans = spans or []
+                marks = np.concatenate([rolled(hashes, PASSAGE)[at].view(np.int64), np.array([x["exact"] for x in spans], dtype=np.int64)])
+                places = np.concatenate([at, np.array([x["start"] for x in spans], dtype=np.int64)]).astype(np.int64)
+                items = [None] * len(at) + [rolled(hashes[x["start"]:x["stop"]], SHINGLE).tobytes() for x in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rolled(hashes, PASSAGE)[at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(at.astype(np.int64))], names=["hash", "doc", "at"])
+                    [pa.array(marks), pa.array(np.full(len(marks), doc, dtype=np.int64)), pa.array(places), pa.array(items, pa.binary())], names=["hash", "doc", "at", "items"])
 
-    placed = wanted.select("rank", "keys", F.col(FILE).alias("f"), F.col(ROW).alias("r"))
-    read = texts.join(placed, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("rank", "keys", "text")
-    return read.mapInArrow(run, "hash bigint, doc bigint, at bigint")
+    placed = wanted.select("rank", "keys", "spans", F.col(FILE).alias("f"), F.col(ROW).alias("r"))
+    read = texts.join(placed, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r"))).select("rank", "keys", "spans", "text")
+    return read.mapInArrow(run, "hash bigint, doc bigint, at bigint, items binary")
 
 
 def equal_runs(windows: DataFrame) -> DataFrame:
@@ -101,6 +143,80 @@ def equal_runs(windows: DataFrame) -> DataFrame:
     return runs.select("doc", "start", (F.col("end") + PASSAGE).alias("stop"), F.xxhash64("k_doc", "k_at", "who").alias("cluster"), (~stays).alias("removed"))
 
 
+def banded(kinds: DataFrame) -> DataFrame:
+    """(key, exact, size): the bands of different paragraphs that at least two share."""
+    rows = kinds.select("exact", F.explode("bands").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("key").alias("k"), "size")
+    return write_table(rows.join(sizes, F.col("key") == F.col("k")).select("key", "exact", "size"), "banded")
+
+
+def _tiled(bands: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows of the groups to compare: a band of up to a tile is one group; a row of a larger one meets every tile once."""
+    full = bands.join(items.select(F.col("hash").alias("i"), "doc", "at", "items"), F.col("exact") == F.col("i"))
+    weights = full.groupBy("key").agg(F.sum(F.length("items") / 8).alias("weight")).select(F.col("key").alias("k"), "weight")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE_ROWS), F.least(F.ceil(F.col("weight") / TILE_ITEMS), F.col("size"))).cast("int")
+    sized = full.join(weights, F.col("key") == F.col("k")).withColumn("tiles", tiles)
+    sized = sized.withColumn("tile", F.pmod(F.xxhash64("key", "exact"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return sized.select(F.col("key").alias("leaf"), F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "exact", "doc", "at", "items")
+
+
+def similar_links(bands: DataFrame, items: DataFrame) -> DataFrame:
+    """(exact, root, doc, at, begin, end) per paragraph and group with a similar one: `root` is one it is connected to.
+
+    `doc` and `at` are the place of the similar paragraph with the smallest place before its own (null: none),
+    `begin` and `end` the words from the first to the last shingle that they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in sorted_groups(batches, ("leaf", "lo", "hi")):
+            tile, lo, hi, exact, doc, at = (table.column(c).to_numpy() for c in ("tile", "lo", "hi", "exact", "doc", "at"))
+            raw = table.column("items")
+            out: list[tuple] = []
+            for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                if e <= s + 1:
+                    continue
+                order = s + np.lexsort((at[s:e], doc[s:e]))
+                runs = [np.frombuffer(raw[int(i)].as_py(), dtype=U) for i in order]
+                sets = [np.unique(x) for x in runs]
+                sizes = np.array([len(x) for x in sets])
+                both = _overlaps(sets)
+                linked = (both >= SIMILAR * (sizes[:, None] + sizes[None, :] - both) - 1e-9) & _considered(tile[order], lo[s], hi[s])
+                if not linked.any():
+                    continue
+                labels = smallest_labels(linked)
+                for i in np.flatnonzero(linked.any(axis=1)):
+                    first = int(linked[i].argmax())
+                    row = (int(exact[order[i]]), int(exact[order[labels[i]]]))
+                    if first < i:
+                        common = np.flatnonzero(np.isin(runs[i], sets[first]))
+                        out.append((*row, int(doc[order[first]]), int(at[order[first]]), int(common[0]), int(common[-1]) + SHINGLE))
+                    else:
+                        out.append((*row, None, None, None, None))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["exact", "root", "doc", "at", "begin", "end"])
+
+    with arrow_batches(items.sparkSession, 512):
+        return write_table(_grouped(_tiled(bands, items)).mapInArrow(run, "exact bigint, root bigint, doc bigint, at bigint, begin bigint, end bigint"), "links")
+
+
+def similar_runs(places: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc, start, stop, cluster, removed) of the paragraphs that have a similar one; `places` has all (doc, start, stop, exact).
+
+    A paragraph is removed where one similar to it stands before it, from the first to the last shingle that
+    they share. Clusters are connected components, those within one document left out.
+    """
+    roots = components(links.select(F.col("exact").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("n"), F.col("root").alias("cluster"))
+    before = links.groupBy("exact").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "at", "begin", "end"))).alias("found"))
+    known = write_table(before.join(roots, F.col("exact") == F.col("n")).select(F.col("exact").alias("x"), "found", "cluster"), "similar")
+    rows = write_table(places.join(known, F.col("exact") == F.col("x")).select("doc", "start", "stop", "exact", "found", "cluster"), "similar")
+    apart = rows.groupBy("cluster").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select(F.col("cluster").alias("c"))
+    rows = rows.join(apart, F.col("cluster") == F.col("c"))
+    removed = F.col("found").isNotNull()
+    return rows.select(
+        "doc", F.when(removed, F.col("start") + F.col("found.begin")).otherwise(F.col("start")).alias("start"),
+        F.when(removed, F.col("start") + F.col("found.end")).otherwise(F.col("stop")).alias("stop"), F.xxhash64(F.lit("similar"), "cluster").alias("cluster"), removed.alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """One row per repeated passage of a document: locator, id, `start`, `stop` (words), `cluster`, `removed`.
 
@@ -109,25 +225,44 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     overlap; the passages of a `cluster` are equal. The one of the smallest id stays (nulls last) and the others
     are `removed`, further places in one document included. So every removed word stands, in the same passage,
     in a document of smaller id or earlier in its own, and at last in one place where it stays.
+
+    Paragraphs (lines of PASSAGE words or more) that differ but whose sets of shingles have a Jaccard similarity of
+    SIMILAR or more are passages as well, in clusters of their own. One is `removed`, but for the ends that are
+    its own, where a similar one stands before it; equal copies of one that stays are a passage of the first kind.
+
     Texts without repeats, null, empty and short ones have no row; repeats within one document alone do not
     count; repeated rows repeat each other. An empty table gives an empty result.
 
     Method: each window of PASSAGE words has an anchor of PARAGRAPH words that its own words choose. Windows
     whose anchor occurs in one document only cannot repeat; all others meet by the hash of their words.
+    Different paragraphs meet by MinHash bands, and all pairs of a band are compared exactly, tile by tile.
     """
     src = source_rows(docs, id=id_col, text=text_col)
-    marks = anchor_marks(src)
+    marks = text_marks(src, seed)
     places = ranked_places(marks)
     keys = marks.select("doc", F.explode("keys").alias("key"))  # each key once a document
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"))
-    wanted = write_table(keys.join(shared, F.col("key") == F.col("k")).groupBy("doc").agg(F.collect_list("key").alias("keys")), "wanted")
+    wanted = keys.join(shared, F.col("key") == F.col("k")).groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    wanted = write_table(wanted.join(places.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d")).select("rank", "keys"), "wanted")
+    ranks = places.select(F.col("doc").alias("d"), "rank")
+    parts = marks.select("doc", F.explode("paragraphs").alias("p")).join(ranks, F.col("doc") == F.col("d")).select(F.col("rank").alias("doc"), "p.*")
+    parts = write_table(parts, "paragraphs")
     drop_table(marks)
-    placed = wanted.join(places.withColumnRenamed("doc", "d"), F.col("doc") == F.col("d"))
+    kinds = parts.groupBy("exact").agg(F.min(F.struct("doc", "start", "stop")).alias("first"), F.first("bands").alias("bands"))
+    bands = banded(kinds)
+    met = bands.select(F.col("exact").alias("x")).distinct()
+    firsts = parts.groupBy("exact").agg(F.min(F.struct("doc", "start", "stop")).alias("first")).join(met, F.col("exact") == F.col("x"))
+    spans = firsts.groupBy(F.col("first.doc").alias("d")).agg(F.collect_list(F.struct("first.start", "first.stop", "exact")).alias("spans"))
+    both = wanted.join(spans, F.col("rank") == F.col("d"), "full").select(F.coalesce("rank", "d").alias("w"), "keys", "spans")
+    placed = both.join(places, F.col("w") == F.col("rank")).select(*LOCATOR, "rank", "keys", "spans")
     with arrow_batches(docs.sparkSession):
-        windows = write_table(_windows(src.select(*LOCATOR, "text"), placed), "windows")
+        again = write_table(_read_again(src.select(*LOCATOR, "text"), placed), "again")
     drop_table(wanted)
-    runs = write_table(equal_runs(windows), "runs")
-    drop_table(windows)
+    links = similar_links(bands, again.filter(F.col("items").isNotNull()))
+    similar = write_table(similar_runs(parts.select("doc", "start", "stop", "exact"), links), "runs")
+    equal = write_table(equal_runs(again.filter(F.col("items").isNull()).select("hash", "doc", "at")), "runs")
+    drop_table(again)
+    runs = equal.unionByName(similar)
     return runs.join(places.select(*LOCATOR, "id", "rank"), F.col("doc") == F.col("rank")).select(*LOCATOR, "id", "start", "stop", "cluster", "removed")
 
 
