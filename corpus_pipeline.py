@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm.common import table, write_table
+from wardline.llm.common import in_written_order, table, write_table
 from wardline.llm.dedup import keep_first
 from wardline.llm.jaccard import keep_representatives
 from wardline.llm.language import keep_identified
@@ -34,8 +34,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: the pieces of the packed sequences."""
-    return pack(docs, vocabulary(), with_ids=False)
+    """Operator 4: the pieces of the packed sequences, in training order."""
+    return pack(in_written_order(docs), vocabulary(), with_ids=False)
 
 
 STAGES = [

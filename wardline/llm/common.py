@@ -90,6 +90,14 @@ def with_locator(df: DataFrame) -> DataFrame:
     return df.withColumns({FILE: meta.getField("file_path"), ROW: meta.getField("row_index")})
 
 
+def in_written_order(table: DataFrame) -> DataFrame:
+    """The rows of a table made by `write_table` in the order of its part files, which follow the partitions written.
+
+    A plain scan takes the largest pieces of the files first.
+    """
+    return with_locator(table).repartitionByRange(*LOCATOR).sortWithinPartitions(*LOCATOR).select(*table.columns)
+
+
 def source_rows(docs: DataFrame, **wanted: str | None) -> DataFrame:
     """The locator and the wanted columns under fixed names; an absent or unnamed column is null."""
     placed = with_locator(docs)

@@ -103,6 +103,12 @@ def curriculum(
     return out.withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
 
 
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """The rows of a curriculum range-sorted by the position of their first copy; rows that the mix leaves out come last."""
+    order = [F.try_element_at("copies", F.lit(1))["position"].asc_nulls_last(), F.md5(F.col("id").cast("string")), F.col(FILE), F.col(ROW)]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix in training order, with the columns of `docs`; a repeated document comes once per copy.
 

@@ -106,9 +106,9 @@ SELECT doc_id, size, source_size, target,
 
 @query("op9_mixing", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wardline.llm.mixing import curriculum
+    from wardline.llm.mixing import curriculum, in_training_order
 
-    return curriculum(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return in_training_order(curriculum(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 @query("op5_jaccard_join")
