@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL."""
+"""The registered queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -164,3 +164,72 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+def _op11_sql() -> str:
+    from wardline.llm.rules import FENCE, LEAST_DOCUMENTS, MEASURES
+
+    def bucket(v: str) -> str:
+        return f"CASE WHEN {v} < 32 THEN {v} ELSE (length(bin({v})) - 6) * 32 + ({v} >> (length(bin({v})) - 6)) END"
+
+    def low(b: str) -> str:
+        return f"CASE WHEN {b} < 32 THEN {b} ELSE ({b} % 32 + 32) << CAST({b} // 32 - 1 AS BIGINT) END"
+
+    def high(b: str) -> str:
+        return f"CASE WHEN {b} < 32 THEN {b} ELSE (({b} % 32 + 33) << CAST({b} // 32 - 1 AS BIGINT)) - 1 END"
+
+    shares = " UNION ALL ".join(f"SELECT rn, base_failed, lang, source, '{m}' AS measure, {s} AS slack, 1000 * {a} // greatest({b}, 1) AS v FROM base" for m, a, b, s in MEASURES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, lang, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT rn, unnest(generate_series(1, len(ws) - 7)) AS p, unnest(list_transform(generate_series(1, len(ws) - 7), lambda i: array_to_string(ws[i:i + 7], ' '))) AS words FROM w WHERE len(ws) > 7
+), r AS (
+  SELECT rn, p, count(*) OVER (PARTITION BY rn, words) AS times FROM g
+), c AS (
+  SELECT rn, count(DISTINCT q) AS n_repeat_words FROM (SELECT rn, unnest(generate_series(p, p + 7)) AS q FROM r WHERE times > 1) GROUP BY rn
+), base AS (
+  SELECT w.rn, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines,
+    len(ws) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(ws) AS base_failed
+  FROM w LEFT JOIN c ON w.rn = c.rn
+), v AS (
+  {shares}
+), b AS (
+  SELECT lang, source, measure, slack, {bucket("v")} AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL
+), s AS (
+  SELECT lang, source, 0 AS level, measure, slack, bucket, n FROM b
+  UNION ALL SELECT lang, NULL, 1, measure, slack, bucket, sum(n) FROM b GROUP BY ALL
+  UNION ALL SELECT NULL, NULL, 2, measure, slack, bucket, sum(n) FROM b GROUP BY ALL
+), k AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM s
+), q AS (
+  SELECT level, lang, source, measure, slack, max(total) AS documents, min(bucket) FILTER (4 * upto >= total) AS q1,
+    min(bucket) FILTER (4 * upto >= 2 * total) AS q2, min(bucket) FILTER (4 * upto >= 3 * total) AS q3 FROM k GROUP BY ALL
+), f AS (
+  SELECT *, ({low("q2")}) - greatest({FENCE} * (({high("q2")}) - ({low("q1")})), slack) AS low,
+    ({high("q2")}) + greatest({FENCE} * (({high("q3")}) - ({low("q2")})), slack) AS high FROM q
+), j AS (
+  SELECT v.rn, string_agg(v.measure, ',' ORDER BY CASE v.measure WHEN 'word_length' THEN 1 WHEN 'symbols' THEN 2 WHEN 'dup_lines' THEN 3 ELSE 4 END)
+    FILTER (CASE WHEN o.documents >= {LEAST_DOCUMENTS} THEN v.v < o.low OR v.v > o.high
+                 WHEN l.documents >= {LEAST_DOCUMENTS} THEN v.v < l.low OR v.v > l.high ELSE v.v < a.low OR v.v > a.high END) AS why
+  FROM v LEFT JOIN f o ON o.level = 0 AND o.measure = v.measure AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN f l ON l.level = 1 AND l.measure = v.measure AND l.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN f a ON a.level = 2 AND a.measure = v.measure
+  WHERE NOT v.base_failed GROUP BY v.rn
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN 'base' ELSE coalesce(why, '') END AS reasons, NOT base_failed AND why IS NULL AS kept
+FROM base LEFT JOIN j ON base.rn = j.rn
+"""
+
+
+@query("op11_quality_rules", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons", "kept")

@@ -117,3 +117,12 @@ def smallest_labels(linked: np.ndarray) -> np.ndarray:
         if (new == labels).all():
             return labels
         labels = new
+
+
+def long_text_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int = 1 << 20) -> np.ndarray:
+    """`span_hashes` in stretches of about `size` bytes, so that the working memory does not follow the text."""
+    if len(raw) <= size:
+        return span_hashes(raw, begin, end)
+    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(raw) + size, size)))
+    return np.concatenate([np.zeros(0, dtype=U), *[
+        span_hashes(raw[begin[a]:end[b - 1]], begin[a:b] - begin[a], end[a:b] - begin[a]) for a, b in zip(cuts[:-1], cuts[1:])]])
