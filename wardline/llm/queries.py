@@ -233,3 +233,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return quality_rules(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "reasons", "kept")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.whitening import whitened_embeddings
+
+    return whitened_embeddings(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
