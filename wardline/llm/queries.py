@@ -241,3 +241,40 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return whitened_embeddings(table(spark, sf_dir, "embeddings")).select(
         F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op12_phrase_collocation", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, size, unnest(list_transform(generate_series(1, len(ws) - size + 1), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS s(size) WHERE len(ws) >= size
+), f AS (
+  SELECT lang, size, phrase, lang || chr(10) || phrase AS key, count(*) AS a FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND a >= 10
+), k AS (
+  SELECT c.lang, c.size, c.phrase, c.a, cut, x.a AS l, y.a AS r, ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS cut FROM c) c
+  JOIN f x ON x.key = c.lang || chr(10) || array_to_string(ws[1:cut], ' ') JOIN f y ON y.key = c.lang || chr(10) || array_to_string(ws[cut + 1:], ' ')
+), b AS (
+  SELECT lang, size, phrase, any_value(a) AS a, min_by(l, (score, cut)) AS l, min_by(r, (score, cut)) AS r, min(score) AS score FROM k GROUP BY lang, size, phrase
+), o AS (
+  SELECT lang, part, max(a) AS most FROM (
+    SELECT lang, a, array_to_string(ws[1:2], ' ') AS part FROM c WHERE size = 3 UNION ALL SELECT lang, a, array_to_string(ws[2:3], ' ') FROM c WHERE size = 3) GROUP BY ALL
+), q AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM b LEFT JOIN o ON b.size = 2 AND o.lang = b.lang AND o.part = b.phrase WHERE most IS NULL OR 100 * most < 50 * a
+)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN n ON q.lang = n.lang WHERE rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.collocation import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
