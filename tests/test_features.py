@@ -69,7 +69,7 @@ def test_sessions_touching_intervals(spark):
 
 def test_unknown_device_and_mismatch(spark):
     rows = [{"device_id": "trusted", "device_fingerprint": "zzzzzz123456"} for _ in range(12)] + [
-        {"event_id": "new", "device_id": "other", "claimed_device_id": "trusted", "us": START + HOUR}]
+        {"event_id": "new", "device_id": "other", "claimed_device_id": "trusted", "device_fingerprint": "zzzzzzabcdef", "us": START + HOUR}]
     out = behaviour_features(frame(spark, rows)).where("event_id = 'new'").first()
     assert out["baseline_kind"] == "entity" and out["new_device_score"] == 1 and out["device_fingerprint_distance"] == .5
     assert out["claimed_observed_device_mismatch_score"] == 1

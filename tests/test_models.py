@@ -119,7 +119,7 @@ def test_validation_parts(spark):
 
 def test_cold_replay_uses_finished_profiles(spark):
     train = frame(spark, [{"us": START + i * MINUTE, "entity_id": f"t{i % 5}", "resource_id": f"r{i % 3}", "bytes_downloaded": 100 * i, "is_external_destination": i % 2 == 0} for i in range(40)])
-    attack = frame(spark, [{"event_id": "x1", "us": START + 10 * MINUTE, "label": "brute_force", "entity_id": "cold", "device_id": "cold", "resource_id": "r0"},
+    attack = frame(spark, [{"event_id": "x1", "us": START + 10 * MINUTE, "label": "brute_force", "entity_id": "cold", "device_id": "cold", "resource_id": "r0", "bytes_downloaded": 1000},
                            {"event_id": "x2", "us": START + 11 * MINUTE, "label": "brute_force", "entity_id": "cold", "device_id": "cold", "resource_id": "new"}])
     out = {r["event_id"]: r for r in cold_start_features(attack, train, policy=ProfilePolicy(log_limit=30)).collect()}
     assert out["x1"]["baseline_kind"] == "peer" and out["x1"]["baseline_count"] == 40 and out["x1"]["inter_event_time_zscore"] == 0

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalar import (DAY, HOUR, MINUTE, circular_hours, clip, floor_div, guarded_z, hour_of_day,
                                        log1p_share, minute_of_day, padded_distance, python_round, sensitive_flag)
-from wardline.operators.timeline import position_index, running_before
+from wardline.operators.bounded_lists import ANY, CHUNK, spells
+from wardline.operators.timeline import running_before
 from wardline.operators.windows import Spans
 from wardline.schema import (ENTITY_MINIMUM, LOG_LIMIT, MATURE_KINDS, NUMERIC_LIMIT, PEER_MINIMUM, VALUE_LIMITS)
 from wardline.session import cut_lineage
@@ -32,6 +33,7 @@ class ProfilePolicy:
     log_limit: int = LOG_LIMIT
     value_limits: dict = field(default_factory=lambda: dict(VALUE_LIMITS))
     chunk: int = 4096
+    list_chunk: int = CHUNK
 
 
 # ---- keys, trust ------------------------------------------------------------------------------
@@ -453,7 +455,6 @@ def closed_range_features(events: DataFrame, baselines: DataFrame, facts: DataFr
 
 # ---- known values --------------------------------------------------------------------------
 
-ANY = "*"
 # Dimension -> score when the profile has never recorded the dimension.
 NOVELTY_DEFAULTS = {"auth_method": .25, "endpoint": .25, "source_ip": .25, "device": .35, "posture": .3,
                     "location": .3, "resource": .25, "event_action": .25, "protocol_port": .25, "transition": .3}
@@ -499,42 +500,31 @@ def observed_values() -> Column:
 
 def first_sightings(events: DataFrame, wanted: DataFrame | None = None,
                     policy: ProfilePolicy = ProfilePolicy()) -> DataFrame:
-    """First trusted sighting of each (key, dimension, value) and the moment it is pushed out.
-
-    Partial aggregation shrinks the facts before the shuffle. A value leaves once its list has taken
-    `limit` newer values; only lists that ever overflow are ranked.
-    """
+    """Each stay of a (key, dimension, value) in its list of trusted values, with the moment it is pushed out."""
     levels = level_keys()
     rows = events.where("trusted").select(
         *([F.col("scope")] if "scope" in events.columns else [F.lit("").alias("scope")]), "us", "event_id",
-        levels.alias("levels"), F.explode(observed_values()).alias("v"))
-    rows = rows.select("scope", "us", "event_id", F.explode("levels").alias("l"), "v.dim", "v.value")
+        levels.alias("levels"), F.posexplode(observed_values()).alias("place", "v"))
+    rows = rows.select("scope", "us", "event_id", "place", F.explode("levels").alias("l"), "v.dim", "v.value")
     rows = rows.where(F.col("l.kind").isin(*MATURE_KINDS) | ~F.col("dim").isin(*_GATED, "fingerprint"))
-    rows = rows.select("scope", F.col("l.key").alias("key"), "dim", "value", "us", "event_id")
+    rows = rows.select("scope", F.col("l.key").alias("key"), "dim", "value", "us", "event_id", "place")
     if wanted is not None:
         rows = rows.join(wanted, KEYS, "left_semi")
-    first = rows.groupBy(*KEYS, "dim", "value").agg(F.min(F.struct("us", "event_id")).alias("first_at"))
-    # The reduced table is read several times below; without the cut each time would explode the facts again.
-    return with_eviction(cut_lineage(first), policy)
-
+    return spells(rows, policy.value_limits, policy.list_chunk)
 
-def with_eviction(first: DataFrame, policy: ProfilePolicy) -> DataFrame:
-    limits = F.create_map(*[F.lit(x) for pair in policy.value_limits.items() for x in pair])
-    real = first.where(F.col("value") != ANY)
-    crowded = (real.groupBy(*KEYS, "dim").count().where(F.col("count") > F.element_at(limits, F.col("dim")))
-               .select(*KEYS, "dim"))
-    group = [*KEYS, "dim"]
-    ranked = position_index(real.join(crowded, group, "left_semi").select("*", "first_at.us", "first_at.event_id"),
-                            group, ORDER, "rank").select(*group, "value", "first_at", "rank")
-    pushing = ranked.select(*group, (F.col("rank") - F.element_at(limits, F.col("dim"))).alias("rank"),
-                            F.col("first_at").alias("gone_at"))
-    gone = ranked.join(pushing, [*group, "rank"]).select(*group, "value", "gone_at")
-    return first.join(gone, [*group, "value"], "left")
 
+def listed(asked: DataFrame, sightings: DataFrame) -> DataFrame:
+    """Values asked for, with `known`: whether the value was in its list just before the event.
 
-def known_at(first, gone, at) -> Column:
-    """Whether a value was in its list just before position `at`."""
-    return F.coalesce((F.col(first) < at) & (F.col(gone).isNull() | (at <= F.col(gone))), F.lit(False))
+    The stays of a value do not overlap, so at most one row matches.
+    """
+    names = [*KEYS, "dim", "value"]
+    stays = sightings.select(*[F.col(c).alias("_" + c) for c in names], "first_at", "gone_at")
+    at = F.struct("us", "event_id")
+    same = [F.col(c) == F.col("_" + c) for c in names]
+    inside = (F.col("first_at") < at) & (F.col("gone_at").isNull() | (at <= F.col("gone_at")))
+    joined = asked.join(stays, [*same, inside], "left")
+    return joined.select(*asked.columns, F.col("first_at").isNotNull().alias("known"))
 
 
 def novelty_features(events: DataFrame, baselines: DataFrame, sightings: DataFrame,
@@ -545,9 +535,7 @@ def novelty_features(events: DataFrame, baselines: DataFrame, sightings: DataFra
     asked = events.select("event_id", "us", F.explode(observed_values()).alias("v")).select(
         "event_id", "us", "v.*").join(b, "event_id")
     asked = asked.where(mature | ~F.col("dim").isin(*_GATED, "fingerprint"))
-    matched = asked.join(sightings, [*KEYS, "dim", "value"], "left").select(
-        "event_id", "dim", "value", "us", *KEYS, "baseline_count",
-        known_at("first_at", "gone_at", F.struct("us", "event_id")).alias("known"))
+    matched = listed(asked, sightings)
 
     def shown(dim: str) -> Column:
         return (F.col("dim") == dim) & (F.col("value") != ANY)
@@ -611,7 +599,7 @@ def auth_lists(events: DataFrame, baselines: DataFrame, sightings: DataFrame) ->
 
 
 def print_distances(unseen: DataFrame, sightings: DataFrame, policy: ProfilePolicy = ProfilePolicy()) -> DataFrame:
-    """Distance of unknown prints to the prints listed at that moment, at most `limit` of them."""
+    """Distance of unknown prints to the prints listed at that moment: the last `limit` that were appended."""
     limit = policy.value_limits["fingerprint"]
     prints = sightings.where(F.col("dim") == "fingerprint").select(
         *KEYS, "first_at.us", "first_at.event_id", F.col("value").alias("other"), F.lit(1).cast("long").alias("seen"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import scalar as S
 from wardline.operators import corpus, features, profiles, validate, windows
+from wardline.operators.bounded_lists import spells
 from wardline.plans import oracle as O
 from wardline.plans.registry import d6, events, over_t, query, r6, rounded
 from wardline.schema import FEATURES
@@ -315,15 +316,23 @@ def numeric_history(spark, d):
                         F.col("s_gap").cast("long").alias("gap_sum"))
 
 
-@query("p02_eviction", f"""WITH {O.T}, first AS (SELECT user_role AS role, resource_id AS value, min(us) AS first_us FROM t WHERE trusted GROUP BY 1, 2),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY first_us) AS r FROM first)
- SELECT a.role, a.value, a.first_us, b.first_us AS gone_us FROM ranked a LEFT JOIN ranked b ON a.role = b.role AND b.r = a.r + 5""")
+@query("p02_eviction", f"""WITH RECURSIVE {O.T}, shown AS (SELECT user_role AS role, resource_id AS value, us, row_number() OVER (PARTITION BY user_role ORDER BY us, event_id) AS n FROM t WHERE trusted),
+ replay AS (SELECT role, size, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS held, false AS added, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS us
+   FROM (SELECT DISTINCT role FROM shown), (VALUES (2), (5)) AS s(size)
+  UNION ALL SELECT r.role, size, x.n, CASE WHEN list_contains(held, x.value) THEN held ELSE list_append(held, x.value)[-size:] END, NOT list_contains(held, x.value), x.value, x.us
+   FROM replay r JOIN shown x ON x.role = r.role AND x.n = r.n + 1),
+ kept AS (SELECT role, size, n, us, held FROM replay)
+ SELECT CAST(a.size AS BIGINT) AS size, a.role, a.value, a.us AS first_us, min(b.us) AS gone_us FROM replay a
+ LEFT JOIN kept b ON b.role = a.role AND b.size = a.size AND b.n > a.n AND NOT list_contains(b.held, a.value) WHERE a.added GROUP BY a.size, a.role, a.n, a.value, a.us""")
 def eviction(spark, d):
-    rows = events(spark, d).where("trusted").select(F.lit("").alias("scope"), F.col("user_role").alias("key"), F.lit("resource").alias("dim"),
-                                                    F.col("resource_id").alias("value"), "us", "event_id")
-    first = rows.groupBy("scope", "key", "dim", "value").agg(F.min(F.struct("us", "event_id")).alias("first_at"))
-    kept = profiles.with_eviction(first, profiles.ProfilePolicy(value_limits={"resource": 5}))
-    return kept.select(F.col("key").alias("role"), "value", F.col("first_at.us").alias("first_us"), F.col("gone_at.us").alias("gone_us"))
+    """Lists of two and of five resources per role; values that were pushed out and are seen again come back."""
+    sizes = {"two": 2, "five": 5}
+    shown = events(spark, d).where("trusted").select(
+        F.lit("").alias("scope"), F.col("user_role").alias("key"), F.explode(F.array(*[F.lit(x) for x in sizes])).alias("dim"),
+        F.col("resource_id").alias("value"), "us", "event_id", F.lit(0).alias("place"))
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("dim"))
+    return spells(shown, sizes).select(
+        size.cast("long").alias("size"), F.col("key").alias("role"), "value", F.col("first_at.us").alias("first_us"), F.col("gone_at.us").alias("gone_us"))
 
 
 LIVE = "least(100.0, greatest(0.0, 100.0 * (0.30 * anomaly_score + 0.05 * sequence_anomaly_score + 0.25 * p_malicious + 0.35 * deviation)))"
