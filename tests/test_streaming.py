@@ -4,13 +4,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import BASE, DAY, MINUTE, START
+from helpers import BASE, DAY, MINUTE, START, frame
 from test_models import bundle_rows
 from wardline.operators import classifier as C
 from wardline.operators import incidents as I
 from wardline.operators import reservoir
 from wardline.plans import scoring, training
 from wardline.schema import FEATURES, TEMPORAL_FEATURES
+from wardline.session import cut_lineage
 from wardline.streaming import ingest
 
 
@@ -63,11 +64,13 @@ def test_ingestion(spark, bundle, tmp_path):
     trusted = events.where("trusted").count()
     counts = {r["key"]: r["event_count"] for r in ingest.profile_counts(job.table("profile_facts")).collect()}
     assert counts.get("global:organization", 0) == trusted and job.table("drift_values").count() == trusted
-    folded = ingest.current_incidents(job.table("incidents"))
+    folded = job.incidents.incidents()
     assert folded.agg(F.sum("event_count")).first()[0] == predictions.where("risk_score >= 10").count()
     # Replaying a batch changes nothing.
     job.process(spark.createDataFrame([(x,) for x in second], "value string"), 1)
     assert job.table("events").count() == 8 and job.table("predictions").count() == 8
+    again = job.incidents.incidents()
+    assert again.count() == again.select("incident_key").distinct().count() and again.agg(F.sum("event_count")).first()[0] == job.table("predictions").where("risk_score >= 10").count()
 
 
 def test_batch_of_one_follows_the_recursion(spark, bundle, tmp_path):
@@ -127,3 +130,52 @@ def test_related_history_gives_the_same_features(spark, bundle, tmp_path):
     pruned = sorted(map(tuple, job.features(fresh, 1).select("event_id", "baseline_kind", "baseline_count", *FEATURES).collect()))
     job.related = lambda stored, *_: stored
     assert pruned == sorted(map(tuple, job.features(fresh, 1).select("event_id", "baseline_kind", "baseline_count", *FEATURES).collect()))
+
+
+class Baselines(ingest.Ingestion):
+    """An ingestion whose features are the baselines, and whose trust hangs on the number of trusted events before."""
+
+    def features(self, fresh, batch_id, trust=None):
+        P = ingest.profiles
+        sizes = None if self.priors is None else P.bootstrap_priors(self.priors)
+        chosen = P.choose_baseline(P.positions(self.with_history(fresh, batch_id, trust)), self.policy, runtime=True, priors=sizes)
+        return chosen.join(fresh.select("event_id"), "event_id", "left_semi")
+
+    def score(self, features, batch_id):
+        odd = (F.crc32("event_id") + F.col("subject_history_count")) % 3 == 0
+        return features.withColumns({"risk_score": F.when(odd, 90.0).otherwise(10.0), "predicted_attack": F.lit("normal")})
+
+    def learn(self, fresh, batch_id):
+        features, scored = self.judged(fresh, batch_id)
+        events = cut_lineage(fresh.join(scored.select("event_id", "trusted"), "event_id"))
+        ingest.write_batch(ingest.fact_rows(events.where("trusted")), f"{self.folder}/profile_facts", batch_id)
+        ingest.write_batch(events, f"{self.folder}/events", batch_id)
+        return {r["event_id"]: (r["baseline_kind"], r["baseline_count"], r["subject_history_count"], r["trusted"]) for r in scored.collect()}
+
+
+def test_batch_cuts_do_not_show(spark, tmp_path):
+    """The events of a batch teach each other in event order: one batch, three and single events give the same answers."""
+    policy = ingest.profiles.ProfilePolicy(entity_minimum=2, peer_minimum=3)
+    rows = frame(spark, [{"event_id": f"e{i}", "entity_id": f"u{i % 2}", "device_id": f"d{i % 3}"} for i in range(9)]).drop("trusted").cache()
+    answers = []
+    for size in (9, 3, 1):
+        job, found = Baselines(spark, str(tmp_path / f"cut{size}"), None, policy=policy), {}
+        for batch, start in enumerate(range(0, 9, size)):
+            found |= job.learn(cut_lineage(rows.where(F.substring("event_id", 2, 1).cast("int").between(start, start + size - 1))), batch)
+        answers.append(found)
+    assert answers[0] == answers[1] == answers[2]
+    assert {r[3] for r in answers[0].values()} == {True, False} and {r[0] for r in answers[0].values()} >= {"entity", "peer"}
+
+
+def test_stored_organisation_profile_comes_before_priors(spark, tmp_path):
+    """Forty stored facts and a lonely newcomer: the organisation's own profile judges it, not the training priors."""
+    job = Baselines(spark, str(tmp_path), None)
+    stored = frame(spark, [{"entity_id": f"u{i}", "device_id": f"d{i}", "user_role": f"role{i}"} for i in range(40)])
+    ingest.write_batch(ingest.fact_rows(stored), f"{job.folder}/profile_facts", 0)
+    ingest.write_batch(stored, f"{job.folder}/events", 0)
+    job.priors = frame(spark, [{"event_id": f"p{i}", "us": START - DAY + i * MINUTE} for i in range(30)])
+    newcomer = frame(spark, [{"event_id": "x", "us": START + DAY, "entity_id": "new", "device_id": "new", "user_role": "other"}]).drop("trusted")
+    row = job.features(newcomer, 1).first()
+    assert (row["baseline_kind"], row["baseline_count"], row["baseline_confidence"]) == ("global", 40, .85)
+    job.priors = None
+    assert job.features(newcomer, 1).first()["baseline_kind"] == "global"

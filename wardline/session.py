@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,26 @@ def build_session(master: str | None = None, name: str = "wardline", **extra: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and continue from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`, which the driver and all executors share.
 
-    The folder is the cluster's `spark.checkpoint.dir`, which the driver and all executors share. Only a purely
-    local master, as in tests, may go without: it gets a private folder.
+    Only a purely local master, as in tests, may go without: it gets a private folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="wardline-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the reliable checkpoint folder and continue from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

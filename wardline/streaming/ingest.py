@@ -1,9 +1,9 @@
 """Micro-batch ingestion: validate, deduplicate, score, correlate, trust and publish.
 
-A batch is judged by what earlier batches stored. Trust depends on an event's own risk, so events of
-one batch do not teach the profiles that judge that batch; with one event per batch this is the
-one-by-one definition. Every table is partitioned by batch id and a replayed batch overwrites its
-own partition, so a lost executor or a restart cannot write anything twice.
+Events are judged as if they came one by one: an event's trust depends on its risk, its risk on the
+trusted events before it, those of its own batch included. A batch is therefore judged in rounds until
+the trust of its events no longer changes. Every table is partitioned by batch id and a replayed batch
+overwrites its own partition, so a lost executor or a restart cannot write anything twice.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from wardline.plans import scoring
 from wardline.schema import EVENT_FIELDS, FEATURES, SIGNALS
 from wardline.session import cut_lineage
 from wardline.sources.records import parse_lines, read_table, write_batch
+from wardline.streaming.incident_store import IncidentStore
+from wardline.streaming.seen_ids import SeenIds
 
 PUBLISHED = ("event_id", "us", "entity_id", "predicted_attack", "risk_score", "severity", "anomaly_score", "sequence_anomaly_score",
              "classifier_confidence", "model_confidence", "explanation", "recommended_actions", "baseline_kind", "baseline_confidence",
@@ -39,6 +41,11 @@ class Ingestion:
     spans: Spans = Spans()
     policy: profiles.ProfilePolicy = profiles.ProfilePolicy()
     priors: DataFrame | None = None
+    buckets: int = 8
+
+    def __post_init__(self) -> None:
+        self.seen = SeenIds(self.spark, self.folder, self.buckets)
+        self.incidents = IncidentStore(self.spark, self.folder, self.buckets)
 
     def table(self, name: str, before: int | None = None) -> DataFrame | None:
         return read_table(self.spark, f"{self.folder}/{name}", before)
@@ -46,13 +53,10 @@ class Ingestion:
     def admit(self, lines: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """(new events, quarantine) of a batch of raw lines."""
         checked = parse_lines(lines, self.now_us)
-        stored = self.table("events", batch_id)
         # Parsed once: both sides of the split would otherwise parse every line again.
         valid, bad = validate.split_valid(cut_lineage(checked))
         fresh = validate.first_by_id(valid, ("us", "raw"))
-        if stored is not None:
-            fresh = validate.unseen(fresh, stored)
-        return fresh.drop("raw"), bad.select("raw", "event_id", "violations")
+        return self.seen.unseen(fresh.drop("raw"), batch_id), bad.select("raw", "event_id", "violations")
 
     def history(self, batch_id: int) -> DataFrame | None:
         """Earlier events with their stored trust."""
@@ -62,8 +66,8 @@ class Ingestion:
         """The earlier events that can matter for this batch.
 
         Those of its entities and devices, those recently on its addresses, and the peers of events that
-        no entity or device profile covers yet. Only if a peer group is too small as well, and there
-        are no priors, is the whole history needed.
+        no entity or device profile covers yet. If a peer group is too small as well, the organisation's
+        profile may judge, and the whole history is needed.
         """
         facts = self.table("profile_facts", batch_id)
         if facts is None:
@@ -80,7 +84,7 @@ class Ingestion:
             *[at(k, F.col("key")).alias(k) for k in ("entity", "device", "peer")],
             (F.greatest(at("entity", n), at("device", n)) < self.policy.entity_minimum).alias("cold"),
             (at("peer", n) < self.policy.peer_minimum).alias("lonely")))
-        if self.priors is None and not per.where("cold AND lonely").isEmpty():
+        if not per.where("cold AND lonely").isEmpty():
             return stored
         start = fresh.agg(F.min("us")).first()[0] - self.spans.medium
         wanted = (per.select(F.explode(F.array("entity", "device", F.when(F.col("cold"), F.col("peer")))).alias("key"))
@@ -90,14 +94,20 @@ class Ingestion:
         touched = stored.select("event_id", F.explode(keys).alias("key")).join(wanted, "key", "left_semi").select("event_id").distinct()
         return stored.join(touched, "event_id", "left_semi")
 
-    def features(self, fresh: DataFrame, batch_id: int) -> DataFrame:
+    def with_history(self, fresh: DataFrame, batch_id: int, trust: DataFrame | None = None) -> DataFrame:
+        """The new events with the earlier ones that matter to them; `trust` says which new ones later ones may learn from."""
         columns = [*EVENT_FIELDS, "us"]
         rows = fresh.select(*columns).withColumns({"trusted": F.lit(False), "fresh": F.lit(True)})
+        if trust is not None:
+            rows = rows.drop("trusted").join(trust, "event_id").select(*columns, "trusted", "fresh")
         stored = self.history(batch_id)
-        if stored is not None:
-            stored = self.related(stored, fresh, batch_id)
-            rows = stored.select(*columns, "trusted").withColumn("fresh", F.lit(False)).unionByName(rows)
-        priors = None if self.priors is None else self.priors.select(*columns, "trusted")
+        if stored is None:
+            return rows
+        return self.related(stored, fresh, batch_id).select(*columns, "trusted").withColumn("fresh", F.lit(False)).unionByName(rows)
+
+    def features(self, fresh: DataFrame, batch_id: int, trust: DataFrame | None = None) -> DataFrame:
+        rows = self.with_history(fresh, batch_id, trust)
+        priors = None if self.priors is None else self.priors.select(*EVENT_FIELDS, "us", "trusted")
         computed = behaviour_features(rows, self.spans, self.policy, runtime=True, priors=priors).drop("scope")
         return computed.join(fresh.select("event_id", "us", "entity_id", criticality("resource_sensitivity", "is_privileged_action").alias("criticality")), "event_id")
 
@@ -111,6 +121,22 @@ class Ingestion:
             rows = rows.unionByName(earlier.withColumn("fresh", F.lit(False)), allowMissingColumns=True)
         return scoring.infer(rows, self.bundle).where("fresh").drop("fresh")
 
+    def judged(self, fresh: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """(features, scores with trust) of the new events, as if each had come alone.
+
+        Trust is first assumed, then decided from the scores it leads to, until both agree. An event depends on earlier
+        ones only, so each round settles at least the earliest event that was still wrong, and the agreement reached is
+        the one-by-one result; as nearly all events are normal, it is reached after two or three rounds.
+        """
+        trust = fresh.select("event_id", F.lit(True).alias("trusted"))
+        while True:
+            features = cut_lineage(self.features(fresh, batch_id, trust))
+            scored = cut_lineage(profiles.trusted_live(self.score(features, batch_id), self.max_trusted_risk))
+            decided = scored.select("event_id", "trusted")
+            if decided.join(trust.withColumnRenamed("trusted", "assumed"), "event_id").where("trusted <> assumed").isEmpty():
+                return features, scored
+            trust = decided
+
     def process(self, lines: DataFrame, batch_id: int) -> None:
         fresh, bad = self.admit(lines, batch_id)
         fresh, bad = cut_lineage(fresh), cut_lineage(bad)
@@ -118,21 +144,20 @@ class Ingestion:
             write_batch(bad, f"{self.folder}/quarantine", batch_id)
         if fresh.isEmpty():
             return
-        features = cut_lineage(self.features(fresh, batch_id))
-        scored = profiles.trusted_live(self.score(features, batch_id), self.max_trusted_risk)
-        scored = cut_lineage(scored)
+        features, scored = self.judged(fresh, batch_id)
         events = fresh.join(scored.select("event_id", "trusted"), "event_id")
         write_batch(features, f"{self.folder}/feature_vectors", batch_id)
         write_batch(scored.select(*PUBLISHED, "class_probabilities", "risk_composition", "feature_evidence", "trusted"), f"{self.folder}/predictions", batch_id)
         alerts = incidents.alerting(scored.join(fresh.select("event_id", "event_type", "country", "city", "destination_host"), "event_id"), self.bundle.alert_threshold)
-        write_batch(incidents.correlate(alerts), f"{self.folder}/incidents", batch_id)
+        self.incidents.upsert(cut_lineage(incidents.correlate(alerts)), batch_id)
         trusted = events.where("trusted")
         write_batch(fact_rows(trusted), f"{self.folder}/profile_facts", batch_id)
         signals = [s for s in SIGNALS if s in FEATURES or s in ("anomaly_score", "sequence_anomaly_score")]
         values = scored.where("trusted").select("entity_id", "us", "event_id", hour_of_day("us").alias("access_hour"), *signals)
         write_batch(values, f"{self.folder}/drift_values", batch_id)
         write_batch(scored.select(*PUBLISHED, "trusted"), f"{self.folder}/feed", batch_id, "json")
-        # The events table comes last: later batches only see complete ones.
+        # Ids and events come last: later batches only see complete ones.
+        self.seen.store(fresh, batch_id)
         write_batch(events, f"{self.folder}/events", batch_id)
 
     def start(self, source: str, checkpoint: str, max_files: int = 100):
@@ -151,12 +176,6 @@ def profile_counts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("key", "kind").agg(F.count("*").alias("event_count"), F.max("us").alias("last_us"))
 
 
-def current_incidents(stored: DataFrame) -> DataFrame:
-    """Fold the incident fragments of all batches."""
-    fresh = stored.drop("batch_id")
-    return incidents.merge_incidents(fresh.limit(0), fresh)
-
-
 # ---- stream-to-stream forms --------------------------------------------------------------------------
 
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
