@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import date
 
@@ -233,3 +234,26 @@ def test_replay_counts_late_events(spark, monkeypatch):
     late = spark.createDataFrame([*rows, ("d", "u1", START + HOUR, 1.0), ("e", "u2", START + 2 * DAY, .6)], kind)
     for got, want in zip(training.replay_ranking(late, bundle, known), training.replay_ranking(late, bundle)):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_curve_with_most_scores_equal(spark):
+    """Nine rows in ten share their score to two decimals: ranges of the curve stay even and its numbers exact."""
+    rng = random.Random(5)
+    data = [(f"e{i}", .5 + rng.randrange(400) / 1e5 if i % 10 else rng.random(), "brute_force" if rng.random() < .2 else "normal") for i in range(4000)]
+    df = spark.createDataFrame(data, "event_id string, score double, label string")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merging)
+    spark.conf.set(merging, "false")  # the data are small enough to be merged into one partition
+    try:
+        curve = E.score_curve(df, "score", E.attack())
+        sizes = [r["count"] for r in curve.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set(merging, before)
+    rows = curve.collect()
+    assert len(rows) == len({s for _, s, _ in data})
+    for r in rows[::37]:
+        assert (r["tp"], r["fp"]) == tuple(sum(s >= r["score"] and (label != "normal") == hit for _, s, label in data) for hit in (True, False))
+        assert r["positives"] + r["negatives"] == 4000
+    assert len(sizes) > 4 and max(sizes) <= 2 * len(rows) / 8 + 50
+    plan = E.budget_metrics(df, "score")._jdf.queryExecution().executedPlan().toString() + E.tuned_threshold(df, "score", .1, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

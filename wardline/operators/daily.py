@@ -96,7 +96,8 @@ def daily_evaluation(daily: DataFrame, threshold: float) -> DataFrame:
         (F.sum(F.when(F.col("rank") <= top_ten, hits)) / F.max(top_ten)).alias("top_10_precision"),
         F.sum(F.when(F.col("rank") <= top_ten, hits)).alias("_ten"))
     entities = entities.withColumn("top_10_recall", ratio(F.col("_ten"), F.col("attacked_entity_count"))).drop("_ten")
-    return days.crossJoin(ranking_quality(daily, "score", hit)).crossJoin(entities)
+    # Each side is one row.
+    return days.crossJoin(F.broadcast(ranking_quality(daily, "score", hit))).crossJoin(F.broadcast(entities))
 
 
 def entity_history(daily: DataFrame, ranking: DataFrame, entity: str, threshold: float) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.timeline import running_before
+from wardline.operators.timeline import ranged_before, running_before
+from wardline.session import cut_lineage
 
 NORMAL = "normal"
 
@@ -25,37 +26,29 @@ def count_of(condition) -> Column:
 
 # ---- score curves -----------------------------------------------------------------------------
 
-def score_curve(df: DataFrame, score: str, positive: Column, groups=(), scale: float = 10_000.0) -> DataFrame:
-    """Positives and negatives at and above each distinct score.
+def score_curve(df: DataFrame, score: str, positive: Column, groups=()) -> DataFrame:
+    """Positives and negatives above, and at and above, each distinct score, with the totals of the group.
 
-    Rows shrink to distinct scores before the shuffle and are ranked through score slots; the only
-    unpartitioned step runs over slots, whose number is bounded by the score range times `scale`.
+    Rows shrink to distinct scores before the shuffle, so a score shared by most rows is one row; the distinct scores
+    are written once and cut into even ranges. Rows without a score do not count.
     """
     keys = list(groups) or ["_all"]
     counts = (df.select(*([F.col(g) for g in groups] or [F.lit(0).alias("_all")]), F.col(score).cast("double").alias("score"),
-                        positive.alias("_pos"))
+                        positive.alias("_pos")).where("score IS NOT NULL")
               .groupBy(*keys, "score").agg(F.count_if("_pos").alias("pos"), F.count_if(~F.col("_pos")).alias("neg")))
-    counts = counts.withColumn("falling", -F.col("score")).withColumn("slot", F.floor(F.col("falling") * scale).cast("long"))
-    ranked = running_before(counts, keys, ["falling"], {"pos": "sum", "neg": "sum"}, slot="slot", prefix="above_")
-    return ranked.select(*keys, "score", "pos", "neg", "above_pos", "above_neg",
-                         (F.col("above_pos") + F.col("pos")).alias("tp"), (F.col("above_neg") + F.col("neg")).alias("fp"))
+    ranked = ranged_before(counts.withColumn("falling", -F.col("score")), keys, ["falling"], ["pos", "neg"], prefix="above_")
+    return ranked.select(*keys, "score", "pos", "neg", "above_pos", "above_neg", (F.col("above_pos") + F.col("pos")).alias("tp"),
+                         (F.col("above_neg") + F.col("neg")).alias("fp"), F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"))
 
 
-def curve_totals(curve: DataFrame, groups=()) -> DataFrame:
-    keys = list(groups) or ["_all"]
-    return curve.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-
-
-def ranking_quality(df: DataFrame, score: str, positive: Column, groups=(), scale: float = 10_000.0) -> DataFrame:
+def ranking_quality(df: DataFrame, score: str, positive: Column, groups=()) -> DataFrame:
     """ROC area with averaged ties and step-rule average precision; zero when a class is missing."""
     keys = list(groups) or ["_all"]
-    curve = score_curve(df, score, positive, groups, scale)
-    totals = curve_totals(curve, groups)
-    joined = curve.join(totals if groups else F.broadcast(totals), keys)
+    curve = score_curve(df, score, positive, groups)
     below = F.col("negatives") - F.col("fp")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0))
     steps = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    summed = joined.groupBy(*keys).agg(wins.alias("_w"), steps.alias("_s"), F.max("positives").alias("p"), F.max("negatives").alias("n"))
+    summed = curve.groupBy(*keys).agg(wins.alias("_w"), steps.alias("_s"), F.max("positives").alias("p"), F.max("negatives").alias("n"))
     one = (F.col("p") == 0) | (F.col("n") == 0)
     result = summed.select(*keys, F.when(one, 0.0).otherwise(
         F.col("_w") / F.when(~one, F.col("p").cast("double") * F.col("n"))).alias("roc_auc"),
@@ -64,16 +57,15 @@ def ranking_quality(df: DataFrame, score: str, positive: Column, groups=(), scal
 
 
 def tuned_threshold(df: DataFrame, score: str, max_normal_fpr: float, fallback: float | None = None,
-                    positive: Column | None = None, scale: float = 10_000.0) -> DataFrame:
+                    positive: Column | None = None) -> DataFrame:
     """Threshold with the best (recall, precision, -fpr, threshold) under a false-positive limit.
 
     Every distinct score is a candidate. With a fallback the result keeps one row even when no
     score qualifies.
     """
     positive = attack() if positive is None else positive
-    curve = score_curve(df, score, positive, scale=scale)
-    totals = curve_totals(curve)
-    rated = curve.join(F.broadcast(totals), "_all").select(
+    curve = score_curve(df, score, positive)
+    rated = curve.select(
         F.col("score").alias("threshold"), ratio(F.col("tp"), F.col("positives")).alias("recall"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("fp"), F.col("negatives")).alias("false_positive_rate"),
@@ -84,35 +76,37 @@ def tuned_threshold(df: DataFrame, score: str, max_normal_fpr: float, fallback:
         "b.threshold", "b.recall", "b.precision", (-F.col("b.minus_fpr")).alias("false_positive_rate"), "b.alerts")
     if fallback is None:
         return result
-    at = F.col(score).cast("double") >= fallback
-    tp, fp, p, n = (count_of(positive & at), count_of(~positive & at), count_of(positive), count_of(~positive))
-    spare = df.agg(F.lit(float(fallback)).alias("threshold"), ratio(tp, p).alias("recall"), ratio(tp, tp + fp).alias("precision"),
-                   ratio(fp, n).alias("false_positive_rate"), (tp + fp).alias("alerts"), F.lit(1).alias("_spare"))
+    at = F.col("score") >= fallback
+
+    def summed(column: str, where=None) -> Column:
+        return F.coalesce(F.sum(F.col(column) if where is None else F.when(where, F.col(column))), F.lit(0))
+
+    tp, fp = summed("pos", at), summed("neg", at)
+    spare = curve.agg(F.lit(float(fallback)).alias("threshold"), ratio(tp, summed("pos")).alias("recall"), ratio(tp, tp + fp).alias("precision"),
+                      ratio(fp, summed("neg")).alias("false_positive_rate"), (tp + fp).alias("alerts"), F.lit(1).alias("_spare"))
     both = result.withColumn("_spare", F.lit(0)).unionByName(spare)
     return (both.agg(F.min_by(F.struct(*result.columns), "_spare").alias("b")).select("b.*"))
 
 
-def budget_metrics(df: DataFrame, score: str, fraction: float = .01, event_id: str = "event_id",
-                   scale: float = 10_000.0) -> DataFrame:
+def budget_metrics(df: DataFrame, score: str, fraction: float = .01, event_id: str = "event_id") -> DataFrame:
     """Metrics of the highest `ceil(n * fraction)` scores; ties are broken by the digest of the id.
 
-    The cut-off comes from the score curve. Only rows tied at the cut-off are ranked, in slots of
+    The cut-off is one row of the score curve. Only rows tied at the cut-off are ranked, in slots of
     the digest, which spreads even a very large tie evenly.
     """
-    curve = score_curve(df, score, attack(), scale=scale)
-    totals = curve_totals(curve).select("_all", "positives", (F.col("positives") + F.col("negatives")).alias("rows"))
-    sized = totals.withColumn("budget", F.greatest(F.lit(1), F.ceil(F.col("rows") * F.lit(fraction))).cast("long"))
-    cut = (curve.join(F.broadcast(sized), "_all").where((F.col("above_pos") + F.col("above_neg") < F.col("budget"))
-                                           & (F.col("tp") + F.col("fp") >= F.col("budget")))
+    rows = F.col("positives") + F.col("negatives")
+    curve = score_curve(df, score, attack()).withColumn("budget", F.greatest(F.lit(1), F.ceil(rows * F.lit(fraction))).cast("long"))
+    cut = (curve.where((F.col("above_pos") + F.col("above_neg") < F.col("budget")) & (F.col("tp") + F.col("fp") >= F.col("budget")))
            .select("_all", F.col("score").alias("threshold"), "above_pos", (F.col("budget") - F.col("above_pos") - F.col("above_neg")).alias("left"),
-                   "budget", "rows", "positives"))
-    tied = (df.select(F.lit(0).alias("_all"), F.col(score).cast("double").alias("threshold"), attack().cast("long").alias("hit"),
-                      F.md5(F.col(event_id).cast("binary")).alias("digest")).join(F.broadcast(cut), ["_all", "threshold"]))
+                   "budget", rows.alias("rows"), "positives"))
+    cut = cut_lineage(cut)
+    tied = (df.select(F.col(score).cast("double").alias("threshold"), attack().cast("long").alias("hit"),
+                      F.md5(F.col(event_id).cast("binary")).alias("digest")).join(F.broadcast(cut), "threshold"))
     tied = tied.withColumn("one", F.lit(1).cast("long")).withColumn("slot", F.conv(F.substring("digest", 1, 4), 16, 10).cast("long"))
     ranked = running_before(tied, ["_all"], ["digest"], {"one": "sum"}, slot="slot", prefix="before_")
     taken = ranked.where(F.col("before_one") < F.col("left")).groupBy("_all").agg(F.sum("hit").alias("tied_hits"))
     tp = F.col("above_pos") + F.col("tied_hits")
-    return cut.join(taken, "_all").select(
+    return taken.join(F.broadcast(cut), "_all").select(
         F.lit(fraction).alias("budget_fraction"), F.col("budget").alias("budget_count"),
         (tp / F.col("budget")).alias("precision"), ratio(tp, F.col("positives")).alias("recall"),
         (F.col("budget") - tp).alias("false_positives"), "threshold",

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.scalar import DAY, floor_div
+from wardline.session import cut_lineage
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -58,6 +59,25 @@ def running_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.select(*kept, *totals)
 
 
+def ranged_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[str], prefix: str = "prior_", total: str = "all_") -> DataFrame:
+    """For each row the sums of `measures` over the earlier rows of its key (`prefix`) and over all of them (`total`).
+
+    Rows are range-partitioned by key and order, so partitions are even whatever the values; the second pass adds
+    up one row per partition and key, which is broadcast. `order` must be unique within a key.
+    """
+    keys = list(keys)
+    ranged = cut_lineage(cut_lineage(rows).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys)
+    carry = ranged.groupBy("_part", *keys).agg(*[F.sum(m).alias(m) for m in measures]).select(
+        F.col("_part").alias("_p"), *[F.col(k).alias("_k_" + k) for k in keys],
+        *[F.coalesce(F.sum(m).over(across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c_" + m) for m in measures],
+        *[F.sum(m).over(across).alias(total + m) for m in measures])
+    local = ranged.select("*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias("_l_" + m) for m in measures])
+    joined = local.join(F.broadcast(carry), [local["_part"] == carry["_p"], *[local[k].eqNullSafe(carry["_k_" + k]) for k in keys]])
+    return joined.select(*rows.columns, *[(F.col("_l_" + m) + F.col("_c_" + m)).alias(prefix + m) for m in measures], *[total + m for m in measures])
+
+
 def position_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position",
                    slot: str | None = None, width: int = DAY) -> DataFrame:
     """Number the rows of each key from 1 in total order."""
