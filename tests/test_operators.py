@@ -220,20 +220,26 @@ def test_cold_identities_share_device_numbers(spark):
     assert out == {"e0000": ("cold-x-0", "cold-x-device-0", "cold-x-device-1"), "e0001": ("cold-x-1", "cold-x-device-1", "cold-x-device-0")}
 
 
-def test_replay_counts_late_events(spark, monkeypatch):
+def test_replay_sees_late_replaced_and_lost_events(spark, monkeypatch):
     from types import SimpleNamespace
 
     from wardline.plans import training
+    rolled = []
     monkeypatch.setattr(training, "with_anomaly", lambda rows, *_: rows)
-    monkeypatch.setattr(training, "daily_vectors", lambda rows: daily.daily_rollup(rows, ["score"]))
+    monkeypatch.setattr(training, "daily_vectors", lambda rows: rolled.append(sorted(r[0] for r in rows.select("event_id").collect())) or daily.daily_rollup(rows, ["score"]))
     monkeypatch.setattr(training, "score_days", lambda days, *_: days)
     bundle = SimpleNamespace(classifier=SimpleNamespace(raw=lambda rows, _: rows), scaler=None, forests=None, forest_ranges=None, daily_scaler=None, daily=None, daily_threshold=.5)
-    rows = [("a", "u1", START, .2), ("b", "u1", START + DAY, .3), ("c", "u2", START, .4)]
+    rows = [("a", "u1", START, .2), ("b", "u1", START + DAY, .3), ("c", "u2", START, .4), ("f", "u3", START, .1), ("f", "u3", START, .1), ("g", "u4", START, .1)]
     kind = "event_id string, entity_id string, us bigint, score double"
-    known, _ = training.replay_ranking(spark.createDataFrame(rows, kind), bundle)
-    late = spark.createDataFrame([*rows, ("d", "u1", START + HOUR, 1.0), ("e", "u2", START + 2 * DAY, .6)], kind)
-    for got, want in zip(training.replay_ranking(late, bundle, known), training.replay_ranking(late, bundle)):
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    known = training.day_vectors(spark.createDataFrame(rows, kind), bundle)
+    # d and e are late, c is replaced by as many rows, two equal rows by two others, and the day of g is gone.
+    now = [*rows[:2], ("c", "u2", START, .9), ("f", "u3", START, .8), ("f", "u3", START, .8), ("d", "u1", START + HOUR, 1.0), ("e", "u2", START + 2 * DAY, .6)]
+    changed = spark.createDataFrame(now, kind)
+    rolled.clear()
+    got = training.replay_ranking(changed, bundle, known)
+    assert rolled == [["a", "c", "d", "e", "f", "f"]]
+    for mine, want in zip(got, training.replay_ranking(changed, bundle)):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, want.select(*mine.columns).collect()))
 
 
 def test_curve_with_most_scores_equal(spark):
