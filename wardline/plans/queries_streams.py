@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.operators import incidents as I
+from wardline.operators.corpus import label_join
 from wardline.plans import oracle as O
 from wardline.plans.queries_base import NOVELTY, PROFILE, RANGE, SPANS, STATISTIC
 from wardline.plans.queries_ops import over_alerts
 from wardline.plans.registry import d6, events, over_t, query, rounded, scored
 from wardline.session import cut_lineage, work_folder
+from wardline.sources import records
 from wardline.streaming import live_profiles
 from wardline.streaming.incident_store import IncidentStore
 from wardline.streaming.seen_ids import SeenIds
@@ -36,6 +38,16 @@ def live(spark, d):
     return rounded(judged.select("event_id", "baseline_kind", "baseline_count", *LIVE))
 
 
+@query("s03_split_files", over_t("""SELECT event_id, split, label, scenario_id, us, resource_id, bytes_uploaded FROM t"""))
+def split_files(spark, d):
+    """Splits written as event and label files and read back from them."""
+    folder = work_folder(spark, "splits")
+    records.write_split(events(spark, d).withColumn("timestamp", F.timestamp_micros("us")), folder)
+    written = spark.read.schema("event_id string, timestamp timestamp, resource_id string, bytes_uploaded bigint, split string").json(f"{folder}/events")
+    labels = records.read_labels(spark, f"{folder}/labels").drop("split")
+    return label_join(written, labels, strict=False).select("event_id", "split", "label", "scenario_id", F.unix_micros("timestamp").alias("us"), "resource_id", "bytes_uploaded")
+
+
 @query("i03_incident_upsert", over_alerts("SELECT incident_key, entity_id, predicted_attack, event_count, risk2 AS risk_score, event_id, us, last_us FROM incidents"))
 def upserted(spark, d):
     """Alerts in three batches out of order, the second one twice, merged into the stored table."""
