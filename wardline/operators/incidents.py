@@ -140,6 +140,11 @@ def overview(incidents: DataFrame, events: DataFrame, as_of_us: int, day_us: int
     return counters.crossJoin(events.agg(F.count("*").alias("events_analyzed")))
 
 
+def average_latency(predictions: DataFrame, latency: str = "latency_ms") -> DataFrame:
+    """Mean time to score an event over all predictions; zero without any."""
+    return predictions.agg(F.coalesce(F.avg(F.col(latency).cast("double")), F.lit(0.0)).alias("average_ms"))
+
+
 def detections_by_class(incidents: DataFrame) -> DataFrame:
     names = incidents.sparkSession.createDataFrame([(a,) for a in ATTACKS], "predicted_attack string")
     sums = incidents.groupBy("predicted_attack").agg(F.sum("event_count").alias("n"))

@@ -151,7 +151,7 @@ def overview(spark, d):
 
 @query("i16_average_latency", over_t(f"SELECT {d6('avg(session_duration_seconds)')} AS average_ms FROM t"))
 def average(spark, d):
-    return events(spark, d).agg(r6(F.avg("session_duration_seconds")).alias("average_ms"))
+    return rounded(I.average_latency(events(spark, d).withColumnRenamed("session_duration_seconds", "latency_ms")))
 
 
 @query("i17_detections_by_class", over_alerts("""SELECT c AS predicted_attack, CAST(coalesce(sum(event_count), 0) AS BIGINT) AS detections FROM

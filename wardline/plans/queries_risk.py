@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from wardline.functions import risk as R
 from wardline.functions.scalar import python_round
-from wardline.operators import corpus, evaluate as E, explain, profiles, scaling, scores
+from wardline.operators import corpus, evaluate as E, explain, profiles, scaling, scores, windows
 from wardline.plans import oracle as O
 from wardline.plans.registry import (ALERT, BEHAVIOUR, PARTS, PRIORITY, SEVERITY_SQL, d6, events, over_scored, over_t, query, r6,
                                      rounded, scored)
-from wardline.schema import ATTACKS, CLASSES
+from wardline.schema import ATTACKS, CLASS_ACTIONS, CLASSES, COMMON_ACTIONS, ESCALATION
 
 
 
@@ -182,13 +182,28 @@ def top_features(spark, d):
         "event_id", "c.feature", r6("c.value").alias("value"), (F.col("p") + 1).cast("long").alias("rank"))
 
 
+EVIDENCE = ("failed_auth_count_1m", "source_ip_unique_entities_5m", "unique_destination_hosts_5m")
+
+
+@query("r11_feature_evidence", f"""WITH {O.T}, {O.MINUTE_CTE}, m AS (UNPIVOT (SELECT event_id, {", ".join(EVIDENCE)} FROM minute) ON {", ".join(EVIDENCE)} INTO NAME feature VALUE value)
+ SELECT event_id, feature, {d6('value')} AS value, CASE WHEN feature = 'failed_auth_count_1m' THEN 0.0 ELSE 1.0 END AS baseline, {d6('abs((value - 3) / 2.0)')} AS deviation FROM m""")
+def evidence(spark, d):
+    rows = windows.minute_features(events(spark, d), windows.Spans(O.SHORT, O.MEDIUM, O.WEEK, O.MONTH))
+    rows = rows.withColumns({"scaled_" + n: (F.col(n) - 3) / 2.0 for n in EVIDENCE})
+    items = explain.feature_evidence({n: n for n in EVIDENCE}, {n: "scaled_" + n for n in EVIDENCE})
+    return rounded(rows.select("event_id", F.explode(items).alias("e")).select("event_id", "e.*"))
+
+
+ACTIONS_SQL = f"CASE predicted_attack {' '.join(f"WHEN '{c}' THEN '{a}'" for c, a in CLASS_ACTIONS.items())} END"
+
+
 @query("r10_r12_explanation", over_scored(f"""SELECT event_id, concat('Cold-start scoring used a peer/global baseline. ', 'Risk increased because anomaly score was ', printf('%.2f', anomaly_score),
-  ', deviation was ', printf('%.2f', deviation), ' relative to the peer behavioral baseline.') AS text, CAST(CASE WHEN {SEVERITY_SQL} = 'critical' THEN 4 ELSE 3 END AS BIGINT) AS actions FROM scored"""))
+  ', deviation was ', printf('%.2f', deviation), ' relative to the peer behavioral baseline.') AS text, concat({ACTIONS_SQL}, CASE WHEN {SEVERITY_SQL} = 'critical' THEN '; {ESCALATION}' ELSE '' END, '; {"; ".join(COMMON_ACTIONS)}') AS actions FROM scored"""))
 def explanation(spark, d):
     rows = scored(spark, d)
     items = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in ("anomaly_score", "deviation")])
     return rows.select("event_id", explain.sentence(items, F.lit("peer"), F.lit(True)).alias("text"),
-                       F.size(R.recommended_actions("predicted_attack", "severity")).cast("long").alias("actions"))
+                       F.array_join(R.recommended_actions("predicted_attack", "severity"), "; ").alias("actions"))
 
 
 CURVE_SQL = """cand AS (SELECT DISTINCT {score} AS threshold FROM {table}), base_counts AS (SELECT count(*) FILTER (WHERE label <> 'normal') AS p, count(*) FILTER (WHERE label = 'normal') AS n FROM {table}),
