@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardline.functions.scalar import HOUR, circular_hours
 from wardline.operators.timeline import position_index
 from wardline.schema import RECOMMENDATIONS, SIGNALS
+from wardline.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,9 @@ def recommendation(feature="feature") -> Column:
 
 def findings(compared: DataFrame) -> DataFrame:
     """The first significant block of each series; detection freezes the series after it."""
-    first = compared.where("significant").groupBy(*SERIES).agg(F.min("block").alias("block"))
+    # Comparing blocks is the costly part; its few significant rows are read twice.
+    compared = cut_lineage(compared.where("significant"))
+    first = compared.groupBy(*SERIES).agg(F.min("block").alias("block"))
     domains = F.create_map(*[F.lit(x) for s, (d, _) in SIGNALS.items() for x in (s, d)])
     return compared.join(first, [*SERIES, "block"], "left_semi").select(
         *SERIES, "block", F.col("effect_size").alias("magnitude"), "absolute_shift", "ks_distance",
