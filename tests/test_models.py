@@ -37,15 +37,40 @@ def test_forest_finds_the_outlier_and_repeats(spark):
     assert sizes.count() == 45 and sizes.agg(F.max("count")).first()[0] <= 64
     model = forest.ForestModel.collect(nodes, PLANS, 64)
     again = forest.ForestModel.collect(forest.fit_forests(df.repartition(7), "vector", PLANS, 64), PLANS, 64)
-    for name in model.nodes:
-        for a, b in zip(model.nodes[name], again.nodes[name]):
-            assert all(np.array_equal(x, y) for x, y in zip(a, b))
+    assert all(np.array_equal(x, y) for name in model.nodes for x, y in zip(model.nodes[name], again.nodes[name]))
     ranges = forest.fit_ranges(forest.raw_scores(df, "vector", model), model)
     scored = forest.anomaly_scores(forest.raw_scores(df, "vector", model), ranges).toPandas().set_index("event_id")
     assert scored["anomaly_score"].between(0, 1).all() and scored.loc["e0000", "anomaly_score"] > scored["anomaly_score"].median()
     assert scored.loc["e0000", "if_global_score"] == 1
 
 
+def test_forest_walk_equals_one_row_at_a_time(spark):
+    df, data = points(spark, n=700)
+    nodes = forest.fit_forests(df, "vector", PLANS, 128).cache()
+    table = {(r["forest"], r["tree"], r["node"]): r for r in nodes.collect()}
+    model = forest.ForestModel.collect(nodes, PLANS, 128)
+    for plan in PLANS:
+        for i, point in enumerate(data[:40, plan.start:plan.stop]):
+            depths = []
+            for tree in range(plan.trees):
+                node = table[plan.name, tree, 0]
+                while node["feature"] >= 0:
+                    node = table[plan.name, tree, node["left"] if point[node["feature"]] <= node["threshold"] else node["right"]]
+                depths.append(node["length"])
+            wanted = 2 ** (-np.mean(depths) / float(forest.expected_path(128)))
+            assert model.raw(plan.name, data[:, plan.start:plan.stop])[i] == pytest.approx(wanted)
+    # Leaves hold the whole sample, parents the rows of their children; copies of one point never split.
+    for key, node in table.items():
+        if node["feature"] >= 0:
+            assert node["mass"] == sum(table[key[0], key[1], node[side]]["mass"] for side in ("left", "right"))
+        elif key[2] == 0:
+            raise AssertionError("700 different points must split")
+    assert all(table[p.name, t, 0]["mass"] == 128 for p in PLANS for t in range(p.trees))
+    nodes.unpersist()
+    same = forest.fit_forests(df.withColumn("vector", F.expr("array(1D, 1D, 1D, 1D)")), "vector", PLANS[:1], 128)
+    assert same.count() == PLANS[0].trees and same.first()["length"] == pytest.approx(float(forest.expected_path(128)))
+
+
 def loop_encode(model, sequence):
     h = np.zeros(model.hidden)
     sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))

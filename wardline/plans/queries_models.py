@@ -8,7 +8,7 @@ from wardline.functions.scalar import criticality, hour_of_day
 from wardline.operators import classifier as C
 from wardline.operators import forest, reservoir, scaling, windows
 from wardline.plans import scoring, training
-from wardline.plans.queries_base import SPANS
+from wardline.plans.queries_base import SPANS, feature_table
 from wardline.plans.queries_risk import with_history
 from wardline.plans.registry import ALERT, BEHAVIOUR, PRIORITY, events, over_t, query, r6
 from wardline.schema import FEATURES, TEMPORAL_FEATURES
@@ -16,32 +16,64 @@ from wardline.session import cut_lineage
 
 PLAN = training.TrainingPlan(trees=12, domain_trees=8, sample=256, classifier_trees=6, classifier_depth=5, rounds=2, folds=2, spans=SPANS)
 COLUMNS = ("resource_sensitivity", "anomaly_score", "sequence_anomaly_score", "deviation", "hour", "log_bytes")
-PLANS = [forest.ForestPlan("global", 0, 6, 12, 42), forest.ForestPlan("authentication_api", 0, 3, 8, 43), forest.ForestPlan("resource_network", 3, 6, 8, 44)]
-
-
 def vectors(spark, d):
     rows = events(spark, d).withColumns({"hour": hour_of_day("us") / 24.0, "log_bytes": F.log1p(F.col("bytes_downloaded").cast("double")) / 20.0})
     return rows.select("event_id", "us", "entity_id", "scenario_id", "label", "split", F.array(*[F.col(c).cast("double") for c in COLUMNS]).alias("vector"))
 
 
-def fitted_forest(rows):
-    normal = rows.where("label = 'normal'")
-    nodes = forest.fit_forests(normal, "vector", PLANS, 256)
-    model = forest.ForestModel.collect(nodes, PLANS, 256)
-    return model, forest.fit_ranges(forest.raw_scores(normal, "vector", model), model)
+FULL = training.TrainingPlan(spans=SPANS)
+
+
+def scaled_features(spark, d):
+    """The 32 features of every event and their vector under the scaler of the normal rows."""
+    rows = cut_lineage(feature_table(spark, d).select("event_id", *FEATURES).join(events(spark, d).select("event_id", "label"), "event_id"))
+    scaler = scaling.scaler_parameters(scaling.fit_scaler(rows.where("label = 'normal'"), FEATURES))
+    return cut_lineage(scoring.scale(rows, scaler).select("event_id", "label", "scaled"))
 
 
-@query("m03_m04_forest_nodes")
+TREES_SQL = """plans AS (SELECT 'global' AS forest, 280 AS trees UNION ALL SELECT unnest(['authentication_api', 'identity_device_geo', 'resource_network', 'volume_timing']), 180)"""
+
+
+@query("m03_m04_forest_nodes", over_t(f""", {TREES_SQL} SELECT forest, CAST(unnest(range(trees)) AS BIGINT) AS tree, true AS binary_tree, true AS parents_add_up,
+ (SELECT least(2048, count(*)) FROM t WHERE label = 'normal') AS sample, (SELECT least(2048, count(*)) FROM t WHERE label = 'normal') AS leaf_rows FROM plans"""))
 def nodes(spark, d):
-    grown = forest.fit_forests(vectors(spark, d).where("label = 'normal'"), "vector", PLANS, 256)
-    return grown.groupBy("forest", "tree").agg(F.count("*").alias("nodes"), F.count_if(F.col("feature") < 0).alias("leaves"))
+    """All 1,000 trees at full size: each is a whole binary tree, holds its sample in the leaves and each parent's rows in its children."""
+    normal = scaled_features(spark, d).where("label = 'normal'")
+    grown = cut_lineage(forest.fit_forests(normal, "scaled", forest.default_plans(FULL.trees, FULL.domain_trees, FULL.seed), FULL.sample))
+    leaf, parts = F.col("feature") < 0, grown.select("forest", "tree", F.floor((F.col("node") + 1) / 2).alias("pair"), "node", "mass")
+    # Numbered level by level, the children of the k-th split of a tree are the nodes 2k - 1 and 2k.
+    split = grown.where(~leaf).select("forest", "tree", F.floor((F.col("left") + 1) / 2).alias("pair"), F.col("mass").alias("parent"))
+    sums = parts.where("node > 0").groupBy("forest", "tree", "pair").agg(F.sum("mass").alias("children"))
+    fits = sums.join(split, ["forest", "tree", "pair"], "full").groupBy("forest", "tree").agg(F.every(F.coalesce(F.col("children") == F.col("parent"), F.lit(False))).alias("parents_add_up"))
+    trees = grown.groupBy("forest", "tree").agg((F.count("*") == 2 * F.count_if(leaf) - 1).alias("binary_tree"),
+                                                F.max(F.when(F.col("node") == 0, F.col("mass"))).alias("sample"), F.sum(F.when(leaf, F.col("mass"))).alias("leaf_rows"))
+    return trees.join(fits, ["forest", "tree"], "left").select("forest", F.col("tree").cast("long").alias("tree"), "binary_tree", F.coalesce("parents_add_up", F.lit(True)).alias("parents_add_up"), "sample", "leaf_rows")
 
 
 @query("m05_forest_scores")
 def forest_scores(spark, d):
-    rows = vectors(spark, d)
-    model, ranges = fitted_forest(rows)
-    return forest.anomaly_scores(forest.raw_scores(rows, "vector", model), ranges).select("event_id", r6("anomaly_score").alias("anomaly_score"), r6("if_global_score").alias("global_score"))
+    rows = scaled_features(spark, d)
+    model, ranges = training.fit_anomaly(rows.where("label = 'normal'"), FULL)
+    scored = forest.anomaly_scores(forest.raw_scores(rows, "scaled", model), ranges)
+    return scored.select("event_id", "label", r6("anomaly_score").alias("anomaly_score"), *[r6(c).alias(c) for c in scored.columns if c.startswith("if_")])
+
+
+@query("m05_score_ranges", over_t(f""", {TREES_SQL} SELECT forest, (SELECT count(*) FROM t) AS rows, 0.0 AS least, 1.0 AS most, CAST(0 AS BIGINT) AS blend_errors,
+ true AS top_reached, true AS bottom_reached FROM plans"""))
+def score_ranges(spark, d):
+    """Full-size scores: scores reach 0 and 1, at least the normal rows from the 99.5% quantile on lie at 1, those up to the 2% quantile at 0, the blend is the documented one."""
+    scored = cut_lineage(forest_scores(spark, d))
+    names = [p.name for p in forest.default_plans()]
+    domains = [f"if_{n}_score" for n in names if n != "global"]
+    blend = .35 * F.col("if_global_score") + .45 * F.greatest(*domains) + .2 * sum((F.col(c) for c in domains), F.lit(0.0)) / len(domains)
+    wrong = F.abs(F.col("anomaly_score") - F.least(F.lit(1.0), F.greatest(F.lit(0.0), blend))) > 1e-5
+    each = scored.select("label", wrong.alias("wrong"), F.explode(F.array(*[F.struct(F.lit(n).alias("forest"), F.col(f"if_{n}_score").alias("score")) for n in names])).alias("s"))
+    normal = F.col("label") == "normal"
+    last = F.count_if(normal) - 1
+    return each.groupBy("s.forest").agg(
+        F.count("*").alias("rows"), F.min("s.score").alias("least"), F.max("s.score").alias("most"), F.count_if("wrong").alias("blend_errors"),
+        (F.count_if(normal & (F.col("s.score") >= 1)) >= last + 1 - F.ceil(last * .995)).alias("top_reached"),
+        (F.count_if(normal & (F.col("s.score") <= 0)) >= F.floor(last * .02) + 1).alias("bottom_reached"))
 
 
 def _probability_rows(kind, spark, d):
