@@ -204,6 +204,44 @@ def test_keyed_and_batch_detection_agree(spark):
     assert (rows["significant"], rows["effect_size"], rows["absolute_shift"], rows["ks_distance"]) == (significant, pytest.approx(effect), pytest.approx(shift), pytest.approx(ks))
 
 
+def test_whole_log_equals_the_stream(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows, seqs = [], {}
+    for subject in ("a", "b"):
+        level = rng.choice([9, 13, 19], size=40)
+        for i in range(700):
+            rows.append((subject, "access_hour", 10 * i + int(rng.integers(0, 2)) * 5, f"e{subject}{i:04d}", "value", float(level[i // 18] + rng.normal()), None, None))
+        for us in sorted(rng.choice(700, 30, replace=False)):
+            rows.append((subject, "access_hour", int(us) * 10, "", "review", None, str(rng.choice(["approve_adaptation", "reject_change", "dismiss", "investigate", "postpone"])), "x"))
+    rows.append(rows[-1])
+    rows = sorted(rows, key=lambda r: (r[2], r[4] == "review", r[3]))
+    schema = "subject string, feature string, us bigint, event_id string, kind string, value double, action string, analyst string"
+    values = []
+    for r in rows:
+        if r[4] == "value":
+            seqs[r[0]] = seqs.get(r[0], 0) + 1
+            values.append((r[0], r[1], r[2], r[3], seqs[r[0]], r[5]))
+    log = spark.createDataFrame(values, "subject string, feature string, us bigint, event_id string, seq bigint, value double")
+    empty = (None, "access_hour", 5, "dismiss", "x")
+    reviews = spark.createDataFrame([(r[0], r[1], r[2], r[6], r[7]) for r in rows if r[4] == "review"] + [empty], "subject string, feature string, us bigint, action string, analyst string")
+    whole = drift.reviewed_log(log, reviews).collect()
+
+    def rows_of(out):
+        return sorted((r["us"], r["kind"], r["subject"], r["event_id"], *(("", "") if r["kind"] == "refused" else (r["status"], r["baseline_version"])),
+                       None if r["magnitude"] is None else round(r["magnitude"], 9)) for r in out)
+
+    borders = [r[2] for r in rows][::211]
+    cut = [[r for r in rows if (a <= r[2] < b)] for a, b in zip(borders, borders[1:] + [10 ** 9])]
+    for name, batches in (("one", [rows]), ("cut", cut)):
+        run_monitor(spark, tmp_path, batches, name)
+        assert rows_of(spark.read.parquet(str(tmp_path / name / "out")).collect()) == rows_of(whole), name
+    kinds = [r["kind"] for r in whole]
+    assert kinds.count("finding") > 6 and {"approved_adaptation", "rejected_change", "refused"} <= set(kinds)
+    nothing = drift.reviewed_log(log.limit(0), reviews).collect()
+    assert {r["kind"] for r in nothing} == {"refused"} and len(nothing) == len([r for r in rows if r[4] == "review"])
+    assert drift.reviewed_log(log.limit(0), reviews.limit(0)).count() == 0
+
+
 # ---- corpus ----------------------------------------------------------------------------------------------
 
 def test_strict_labels(spark):

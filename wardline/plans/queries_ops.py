@@ -407,3 +407,47 @@ def review_list(spark, d):
 def detector(spark, d):
     truth = events(spark, d).where("trusted").select(F.col("user_role").alias("subject")).distinct().withColumn("drifted", F.col("subject").isin("analyst", "engineer", "manager"))
     return rounded(drift.detector_quality(found(spark, d), truth, feature="download_volume_zscore"))
+
+
+# A review by every 499th event of a role on four of its signals, unknown actions included.
+LOG_SIGNALS = ("access_hour", "download_volume_zscore", "sequence_anomaly_score", "anomaly_score")
+ACTIONS = ("approve_adaptation", "investigate", "reject_change", "dismiss", "postpone")
+SHIFT_SQL = "CASE WHEN b.feature = 'access_hour' THEN least(abs(b.mean - a.mean) % 24, 24 - abs(b.mean - a.mean) % 24) ELSE abs(b.mean - a.mean) END"
+EFFECT_SQL = f"({SHIFT_SQL}) / greatest((b.std + a.std) / 2, b.flr / 0.8)"
+KS_SQL = "list_max(list_transform(list_concat(b.vs, a.vs), lambda x: abs(len(list_filter(b.vs, lambda v: v <= x)) / 20.0 - len(list_filter(a.vs, lambda v: v <= x)) / 20.0)))"
+LOG_SQL = f"""{DRIFT_BASE},
+rv AS MATERIALIZED (SELECT subject, feature, us, list_extract({list(ACTIONS)}, CAST(eid // 499 % 5 AS INT) + 1) AS action, 'a' || (eid % 3) AS analyst
+  FROM (SELECT user_role AS subject, us, min(eid) AS eid FROM t WHERE eid % 499 = 0 GROUP BY 1, 2), (SELECT unnest({list(LOG_SIGNALS)}) AS feature)),
+fin AS MATERIALIZED (SELECT r.*, (SELECT min(v.seq) FROM vals v WHERE v.subject = r.subject AND v.feature = r.feature AND v.us > r.us) AS resume FROM rv r WHERE action IN ('approve_adaptation', 'reject_change', 'dismiss')),
+w0 AS (SELECT subject, feature, seq, list(CAST(value AS DOUBLE)) OVER win AS vs, max(us) OVER win AS last_us, count(*) OVER win AS n FROM vals WINDOW win AS (PARTITION BY subject, feature ORDER BY seq ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+w1 AS (SELECT *, list_avg(vs) AS m, atan2(list_avg(list_transform(vs, lambda v: sin(v / 24 * 2 * pi()))), list_avg(list_transform(vs, lambda v: cos(v / 24 * 2 * pi())))) AS angle FROM w0 WHERE n = 20),
+w2 AS (SELECT *, CASE WHEN feature = 'access_hour' THEN CASE WHEN angle < 0 THEN angle + 2 * pi() ELSE angle END / (2 * pi()) * 24 ELSE m END AS mean FROM w1),
+w3 AS (SELECT *, sqrt(list_avg(list_transform(vs, lambda v: CASE WHEN feature = 'access_hour' THEN pow(least(abs(v - mean) % 24, 24 - abs(v - mean) % 24), 2) ELSE pow(v - mean, 2) END))) AS std,
+  CASE feature WHEN 'access_hour' THEN 1.5 WHEN 'download_volume_zscore' THEN 0.75 WHEN 'sequence_anomaly_score' THEN 0.12 WHEN 'anomaly_score' THEN 0.12 ELSE 0.15 END AS flr FROM w2),
+w AS MATERIALIZED (SELECT w3.*, concat_ws('|', w3.subject, w3.feature, w3.seq) AS place, f.us AS f_us, f.action AS f_action, f.resume FROM w3 ASOF LEFT JOIN fin f ON w3.subject = f.subject AND w3.feature = f.feature AND w3.last_us <= f.us),
+walk AS (SELECT DISTINCT subject, feature, CAST(1 AS BIGINT) AS ref, CAST(21 AS BIGINT) AS cur, CAST(1 AS BIGINT) AS version FROM vals
+ UNION ALL SELECT subject, feature, CASE WHEN NOT sig OR f_action = 'approve_adaptation' THEN cur ELSE ref END, CASE WHEN sig THEN resume ELSE cur + 20 END,
+  version + CASE WHEN NOT sig OR f_action = 'approve_adaptation' THEN 1 ELSE 0 END
+ FROM (SELECT s.*, b.f_action, b.resume, {SHIFT_SQL} >= b.flr AND {EFFECT_SQL} >= 0.8 AND {KS_SQL} >= 0.3 AS sig FROM walk s
+  JOIN w a ON a.place = concat_ws('|', s.subject, s.feature, s.ref) JOIN w b ON b.place = concat_ws('|', s.subject, s.feature, s.cur)) WHERE NOT sig OR resume IS NOT NULL),
+hit AS MATERIALIZED (SELECT s.subject, s.feature, s.version, b.last_us, b.f_us, {EFFECT_SQL} AS effect, {SHIFT_SQL} AS shift, {KS_SQL} AS ks FROM walk s
+  JOIN w a ON a.place = concat_ws('|', s.subject, s.feature, s.ref) JOIN w b ON b.place = concat_ws('|', s.subject, s.feature, s.cur)
+  WHERE {SHIFT_SQL} >= b.flr AND {EFFECT_SQL} >= 0.8 AND {KS_SQL} >= 0.3),
+dec AS (SELECT r.subject, r.feature, r.us, r.action, r.analyst, h.version + CASE WHEN r.action = 'approve_adaptation' THEN 1 ELSE 0 END AS version, r.us IS NOT DISTINCT FROM h.f_us AS resumes
+  FROM rv r LEFT JOIN hit h ON h.subject = r.subject AND h.feature = r.feature AND r.us >= h.last_us AND (h.f_us IS NULL OR r.us <= h.f_us) AND r.action <> 'postpone')"""
+
+
+def review_log(spark, d):
+    stamped = events(spark, d).where("eid % 499 = 0").groupBy(F.col("user_role").alias("subject"), "us").agg(F.min("eid").alias("eid"))
+    action = F.element_at(F.array(*[F.lit(a) for a in ACTIONS]), (F.floor(F.col("eid") / 499) % 5 + 1).cast("int"))
+    return stamped.select("subject", F.explode(F.array(*[F.lit(s) for s in LOG_SIGNALS])).alias("feature"), "us", action.alias("action"), F.concat(F.lit("a"), F.col("eid") % 3).alias("analyst"))
+
+
+@query("d10_reviewed_log", f"""WITH RECURSIVE {O.T}, {LOG_SQL}
+SELECT subject, feature, last_us AS us, 'finding' AS kind, 'pending_review' AS status, version AS baseline_version, {d6('effect')} AS magnitude, {d6('shift')} AS absolute_shift, {d6('ks')} AS ks_distance, NULL AS analyst FROM hit
+UNION ALL SELECT subject, feature, us, CASE WHEN version IS NULL THEN 'refused' ELSE list_extract(['approved_adaptation', 'investigating', 'rejected_change', 'dismissed'], list_position({list(ACTIONS)}, action)) END,
+ CASE WHEN version IS NULL THEN NULL WHEN resumes THEN 'collecting_current' ELSE 'pending_review' END, version, NULL, NULL, NULL, analyst FROM dec""")
+def reviewed_log(spark, d):
+    """Drift over the whole log with reviews replayed in it."""
+    rows = drift.reviewed_log(drift_values(spark, d), review_log(spark, d), POLICY)
+    return rounded(rows.select("subject", "feature", "us", "kind", "status", "baseline_version", "magnitude", "absolute_shift", "ks_distance", "analyst"))

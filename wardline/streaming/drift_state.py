@@ -44,7 +44,7 @@ def _gap(a, b, hours: bool):
     return np.minimum(d, 24 - d)
 
 
-def compare(feature: str, old: list[float], new: list[float], policy: DriftPolicy = DriftPolicy()) -> tuple[bool, float, float, float]:
+def compare(feature: str, old, new, policy: DriftPolicy = DriftPolicy()) -> tuple[bool, float, float, float]:
     """(significant, effect, shift, distance) of two blocks."""
     hours, floor = feature == "access_hour", SIGNALS[feature][1]
     left, right = np.asarray(old, dtype=float), np.asarray(new, dtype=float)
@@ -61,42 +61,52 @@ def monitor(rows: DataFrame, policy: DriftPolicy = DriftPolicy()) -> DataFrame:
     """Findings and review outcomes of a stream from `inputs`.
 
     State per (subject, feature) is two blocks and a few numbers. The rows of a micro-batch are ordered by
-    time; the trigger size bounds them. Values arriving while a finding is pending are not learnt.
+    time; the trigger size bounds them. Values arriving while a finding is pending are not learnt. Between two
+    reviews values are taken block by block. `operators.drift.reviewed_log` gives the same for a whole log.
     """
+    size = policy.block
+
     def advance(key, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         subject, feature = key
         reference, current, status, version, observed, since = state.get if state.exists else ([], [], "collecting_reference", 1, 0, 0)
-        reference, current, out = list(reference), list(current), []
-        batch = pd.concat(list(frames), ignore_index=True)
-        batch["rank"] = batch["kind"].map(RANK)
-        for row in batch.sort_values(["us", "rank", "event_id"], kind="stable").itertuples(index=False):
-            if row.kind == "review":
-                if status != "pending_review" or row.action not in REVIEW_RESULTS:
-                    out.append((subject, feature, "refused", row.us, "", status, version, None, None, None, row.analyst))
+        reference, current, out = np.asarray(reference, dtype=float), np.asarray(current, dtype=float), []
+        parts = list(frames)
+        us, value, event, kind, action, analyst = (np.concatenate([f[c].to_numpy() for f in parts]) for c in ("us", "value", "event_id", "kind", "action", "analyst"))
+        order = sorted(range(len(us)), key=lambda i: (us[i], RANK[kind[i]], event[i], action[i] or "", analyst[i] or ""))
+        us, value, event, kind, action, analyst = (x[order] for x in (us, value.astype(float), event, kind, action, analyst))
+        stops = [*np.flatnonzero(kind == "review"), len(us)]
+        at = 0
+        for stop in stops:
+            while at < stop and status != "pending_review":
+                learning = len(reference) < size
+                upto = min(stop, at + size - len(reference if learning else current))
+                taken = value[at:upto]
+                observed, at = observed + len(taken), upto
+                if learning:
+                    reference = np.concatenate([reference, taken])
+                    status = "collecting_reference" if len(reference) < size else "collecting_current"
                     continue
-                if row.action == "approve_adaptation":
-                    reference, version = current, version + 1
-                if row.action != "investigate":
-                    current, status, since = [], "collecting_current", 0
-                out.append((subject, feature, REVIEW_RESULTS[row.action], row.us, "", status, version, None, None, None, row.analyst))
-                continue
-            if status == "pending_review":
-                continue
-            observed += 1
-            if len(reference) < policy.block:
-                reference.append(float(row.value))
-                status = "collecting_reference" if len(reference) < policy.block else "collecting_current"
-                continue
-            current.append(float(row.value))
-            if len(current) < policy.block:
+                current = np.concatenate([current, taken])
+                if len(current) < size:
+                    continue
+                significant, effect, shift, ks = compare(feature, reference, current, policy)
+                if significant:
+                    status, since = "pending_review", int(us[at - 1])
+                    out.append((subject, feature, "finding", us[at - 1], event[at - 1], status, version, effect, shift, ks, None))
+                else:
+                    reference, current, version = current, np.empty(0), version + 1
+            at = stop + 1
+            if stop == len(us):
+                break
+            if status != "pending_review" or action[stop] not in REVIEW_RESULTS:
+                out.append((subject, feature, "refused", us[stop], "", status, version, None, None, None, analyst[stop]))
                 continue
-            significant, effect, shift, ks = compare(feature, reference, current, policy)
-            if significant:
-                status, since = "pending_review", int(row.us)
-                out.append((subject, feature, "finding", row.us, row.event_id, status, version, effect, shift, ks, None))
-            else:
-                reference, current, version = current, [], version + 1
-        state.update((reference, current, status, version, observed, since))
+            if action[stop] == "approve_adaptation":
+                reference, version = current, version + 1
+            if action[stop] != "investigate":
+                current, status, since = np.empty(0), "collecting_current", 0
+            out.append((subject, feature, REVIEW_RESULTS[action[stop]], us[stop], "", status, version, None, None, None, analyst[stop]))
+        state.update((reference.tolist(), current.tolist(), status, version, observed, since))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
     return rows.groupBy("subject", "feature").applyInPandasWithState(advance, OUTPUT, STATE, "append", "NoTimeout")
