@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -56,6 +57,21 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert {r["key"] for r in rows if r["in"]} == listed
 
 
+def test_cascade_follows_the_list_not_the_universe(spark):
+    listed = spark.range(40).selectExpr("concat('k', id) AS key")
+    sizes = []
+    for n in (4_000, 400_000):
+        universe = spark.range(n).selectExpr("concat('k', id) AS key")
+        levels = build_cascade(listed, universe)
+        found = universe.where(in_cascade(universe["key"], levels)).collect()
+        assert {r["key"] for r in found} == {f"k{i}" for i in range(40)}
+        sizes.append([level.bits for level in levels])
+    small, large = sizes
+    # A universe a hundred times as large adds about log2(100) x 1.44 bits for each listed key to level 1, nothing to the others.
+    assert large[0] - small[0] <= 40 * 1.45 * math.log2(100) + 64
+    assert sum(large[1:]) <= 40 * 12
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

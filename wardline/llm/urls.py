@@ -18,7 +18,7 @@ LISTED = (
     "adult-x.example.com/", "ads-track.example.com/", "ads-track.example.org/", "casino-win.example.net/", "cheap-pills.example.com/",
     "cheap-pills.example.net/", "free-bets.example.com/", "free-bets.example.net/", "spam-farm.example.org/",
 )
-MAX_LIST_BYTES = 32 << 20  # of one filter level, inlined into the plan
+MAX_LIST_BYTES = 32 << 20  # of one filter level, inlined into the plan; every level is in proportion to the list
 
 
 @dataclass(frozen=True)
@@ -90,12 +90,21 @@ def in_cascade(key: Column, levels: Sequence[Level]) -> Column:
     return verdict
 
 
+def first_rate(listed: int, universe: int, rate: float = 0.5) -> float:
+    """The false-positive rate of level 1: it lets through about as many wrong keys as there are listed ones.
+
+    With it level 2 is as large as level 1 without its logarithm, and does not grow with the universe.
+    """
+    return min(rate, math.sqrt(rate) * listed / max(universe - listed, 1))
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.5) -> list[Level]:
     """A cascade that is exact for every key of `universe` (column `key`, distinct).
 
     Level 1 encodes the listed keys that occur; level 2 the keys of the universe that level 1 holds wrongly;
-    level 3 the listed keys that level 2 holds wrongly, and so on until no wrong key is left. Each level is
-    smaller by its false-positive rate. No join takes part in a lookup; the build marks listed keys once.
+    level 3 the listed keys that level 2 holds wrongly, and so on until no wrong key is left. Level 1's rate is
+    (listed / universe) x sqrt(1/2), later ones 1/2, so level 1 takes about 1.44 log2(universe / listed) bits for each
+    listed key and the later levels a bounded number. No join takes part in a lookup; the build marks listed keys once.
     """
     marks = listed.select(F.col("key").alias("listed_key")).distinct()
     both = universe.join(marks, F.col("key") == F.col("listed_key"), "left").select("key", F.col("listed_key").isNotNull().alias("in"))
@@ -107,7 +116,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.5) ->
         count = keys.count()
         if not count:
             return levels
-        levels.append(_build(keys, len(levels), count, rate / 4 if len(levels) == 0 else rate))
+        levels.append(_build(keys, len(levels), count, rate if levels else first_rate(count, universe.count(), rate)))
         side = not side
         sides[side] = write_table(sides[side].filter(_held(F.col("key"), len(levels) - 1, levels[-1])), "wrong")
 
