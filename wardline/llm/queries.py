@@ -96,19 +96,33 @@ WITH RECURSIVE d AS (
 ), t AS (
   SELECT l.*, least(cap::DOUBLE, weight * (SELECT min_by(level, (fill, rank)) FROM l WHERE level * weight <= cap)) AS target FROM l
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, d.doc_id) - d.size AS BIGINT) AS b
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rank % 3 AS kind, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, d.doc_id) - d.size AS BIGINT) AS b
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT *, greatest(least(CAST(floor(target) AS BIGINT) - b, size), 0) AS w1, greatest(least(CAST(floor(target) AS BIGINT) - b - source_size, size), 0) AS w2,
+    [1.5, 1.0, 0.5][kind + 1]::DOUBLE AS early, [0.625, 0.5, 0.375][kind + 1]::DOUBLE AS half, [-1.0, 0.0, 1.0][kind + 1]::DOUBLE AS slope FROM p
+), m AS (
+  SELECT *, CASE WHEN w1 > 0 THEN least((b + w1 / 2.0::DOUBLE) / target, 1.0) END AS m1, CASE WHEN w2 > 0 THEN least((b + source_size + w2 / 2.0::DOUBLE) / target, 1.0) END AS m2 FROM e
 )
-SELECT doc_id, size, source_size, target,
-  CAST(least(greatest(CAST(floor(target) AS BIGINT) - b, 0), size) + least(greatest(CAST(floor(target) AS BIGINT) - b - source_size, 0), size) AS BIGINT) AS taken FROM p
+SELECT doc_id, size, source_size, target, CAST(w1 + w2 AS BIGINT) AS taken, CAST((w1 > 0)::INT + (w2 > 0)::INT AS BIGINT) AS copies,
+  {position_1} AS position_1, {position_2} AS position_2 FROM m
 """
 
 
-@query("op9_mixing", OP9_SQL)
+def _op9_sql() -> str:
+    """The demand of a source is quadratic in each half of the training; it is solved for the middle of each copy."""
+    inverse = """round(CASE WHEN {m} <= half THEN 2 * {m} / (early + sqrt(greatest(early * early + 2 * slope * {m}, 0)))
+    ELSE 0.5 + 2 * ({m} - half) / (1 + sqrt(greatest(1 + 2 * slope * ({m} - half), 0))) END + 1e-9, 6)"""
+    return OP9_SQL.replace("{position_1}", inverse.replace("{m}", "m1")).replace("{position_2}", inverse.replace("{m}", "m2"))
+
+
+@query("op9_mixing", _op9_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.mixing import curriculum, in_training_order
 
-    return in_training_order(curriculum(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    rows = in_training_order(curriculum(table(spark, sf_dir, "documents")))
+    positions = [F.round(F.try_element_at("copies", F.lit(i))["position"] + F.lit(1e-9), 6).alias(f"position_{i}") for i in (1, 2)]
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("copies"), *positions)
 
 
 @query("op5_jaccard_join")
