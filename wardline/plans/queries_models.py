@@ -1,4 +1,4 @@
-"""Queries that fit models. They have no SQL form; sizes are small, inputs are whole tables."""
+"""Queries that fit models. Forests have their full size, with invariants in SQL; the other models are small. Inputs are whole tables."""
 
 from __future__ import annotations
 
