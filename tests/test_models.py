@@ -10,7 +10,7 @@ from wardline.operators import classifier as C
 from wardline.operators import forest, reservoir
 from wardline.operators.features import cold_start_features
 from wardline.operators.profiles import ProfilePolicy
-from wardline.plans import scoring, training
+from wardline.plans import queries_models, scoring, training
 from wardline.schema import FEATURES, TEMPORAL_FEATURES
 
 PLANS = [forest.ForestPlan("global", 0, 4, 25, 42), forest.ForestPlan("authentication_api", 0, 2, 10, 43), forest.ForestPlan("resource_network", 2, 4, 10, 44)]
@@ -44,6 +44,36 @@ def test_forest_finds_the_outlier_and_repeats(spark):
     assert scored.loc["e0000", "if_global_score"] == 1
 
 
+def test_draw_is_compiled_and_takes_the_smallest_digests(spark):
+    df, _ = points(spark)
+    drawn = forest.drawn_rows(df, "vector", PLANS, 40, df.count())
+    plan = drawn._jdf.queryExecution().executedPlan().toString().lower()
+    assert "lambda" not in plan and "transform(" not in plan
+    got = {}
+    for r in drawn.collect():
+        got.setdefault((r["forest"], r["tree"]), set()).add((r["event_id"], r["digest"], tuple(r["point"])))
+    assert len(got) == 45
+    for p in PLANS:
+        for t in (0, p.trees - 1):
+            first = df.select("event_id", F.xxhash64("event_id", F.lit(p.seed), F.lit(t)).alias("digest"), "vector").withColumn("place", F.shiftrightunsigned("digest", 11))
+            wanted = sorted((r for r in first.collect() if r["place"] / 2 ** 53 < (40 + 6 * 40 ** .5 + 8) / 300), key=lambda r: (r["digest"], r["event_id"]))[:40]
+            assert got[p.name, t] == {(r["event_id"], r["digest"], tuple(r["vector"][p.start:p.stop])) for r in wanted}
+
+
+def test_scores_walk_every_row_once(spark, monkeypatch):
+    """Ranges come from the rows' own scores: normal rows do not walk the trees a second time."""
+    df, _ = points(spark, n=120, width=32)
+    walks, walk = [], forest.raw_scores
+    monkeypatch.setattr(queries_models, "scaled_features", lambda spark, d: df.select("event_id", "label", F.col("vector").alias("scaled")))
+    monkeypatch.setattr(queries_models, "FULL", training.TrainingPlan(trees=5, domain_trees=3, sample=64))
+    monkeypatch.setattr(forest, "raw_scores", lambda *a, **k: walks.append(1) or walk(*a, **k))
+    scored = queries_models.forest_scores(spark, "").toPandas()
+    assert len(walks) == 1
+    assert len(scored) == 120 and scored["anomaly_score"].between(0, 1).all()
+    normal = scored[scored["label"] == "normal"]
+    assert (normal["if_global_score"] == 1).any() and (normal["if_global_score"] == 0).any()
+
+
 def test_forest_walk_equals_one_row_at_a_time(spark):
     df, data = points(spark, n=700)
     nodes = forest.fit_forests(df, "vector", PLANS, 128).cache()
