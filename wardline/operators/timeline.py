@@ -9,13 +9,13 @@ frame would be recomputed for each row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.scalar import DAY, floor_div
-from wardline.session import cut_lineage
+from wardline.session import cut_lineage, work_folder
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -86,6 +86,19 @@ def position_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n
     return counted.withColumn(name, F.col("_n_one").cast("long") + 1).drop("_one", "_n_one")
 
 
+def sliced(rows: DataFrame, position: str, chunk: int, keys: Sequence[str]) -> Iterator[DataFrame]:
+    """Rows whose `position` (from 1) lies in the first `chunk`, the second and so on, for replays in rounds.
+
+    They are written once with a folder per chunk, so all rounds together read each row once.
+    """
+    folder = work_folder(rows.sparkSession, "chunks")
+    placed = rows.withColumn("_chunk", F.floor((F.col(position) - 1) / chunk))
+    placed.repartition("_chunk", *keys).write.partitionBy("_chunk").parquet(folder)
+    written = rows.sparkSession.read.schema(placed.schema).parquet(folder)
+    for number in range((written.agg(F.max("_chunk")).first()[0] or 0) + 1):
+        yield written.where(F.col("_chunk") == number).drop("_chunk")
+
+
 def covering_totals(probes: DataFrame, spans: DataFrame, keys: Sequence[str],
                     measures: Sequence[str], width: int) -> DataFrame:
     """For each probe (keys, us), sum the measures of spans with `start < us <= stop`.
