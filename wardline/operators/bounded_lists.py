@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.timeline import position_index
+from wardline.functions.scalar import HOUR
+from wardline.operators.timeline import dealt_join, position_index, sliced
 from wardline.session import cut_lineage
 
 LIST = ["scope", "key", "dim"]
 AT = ["us", "event_id", "place"]
 ANY = "*"  # the mark that a list has any entry; it is no entry itself
-CHUNK = 1_000_000
+CHUNK = 200_000
 
 
 def replay(shown: list[str], held: list[str], limit: int) -> list[int]:
@@ -52,11 +53,9 @@ def additions(rows: DataFrame, limits: Mapping[str, int], chunk: int) -> DataFra
 
     spark = rows.sparkSession
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("dim"))
-    numbered = rows.withColumn("_chunk", F.floor((F.col("position") - 1) / chunk))
     held = spark.createDataFrame([], schema)
     found = None
-    for number in range((numbered.agg(F.max("_chunk")).first()[0] or 0) + 1):
-        part = numbered.where(F.col("_chunk") == number).drop("_chunk")
+    for part in sliced(rows, "position", chunk, LIST):
         added = cut_lineage(part.groupBy(*LIST).cogroup(held.groupBy(*LIST)).applyInPandas(advance, schema))
         newest = F.row_number().over(Window.partitionBy(*LIST).orderBy(F.desc("number")))
         held = cut_lineage(held.unionByName(added).withColumn("_age", newest).where(F.col("_age") <= limit).drop("_age"))
@@ -64,13 +63,15 @@ def additions(rows: DataFrame, limits: Mapping[str, int], chunk: int) -> DataFra
     return found
 
 
-def spells(shown: DataFrame, limits: Mapping[str, int], chunk: int = CHUNK) -> DataFrame:
+def spells(shown: DataFrame, limits: Mapping[str, int], chunk: int = CHUNK, wanted: DataFrame | None = None) -> DataFrame:
     """One row per stay of a value in its list: LIST, `value`, `first_at`, `gone_at` (null while listed).
 
     `shown` holds LIST, `value` and its moment AT (`place` orders the values of one event). Lists that never
-    overflow are a plain aggregate; only those with more distinct values than their limit are replayed.
+    overflow are a plain aggregate; only those with more distinct values than their limit are replayed. `wanted` (scope,
+    key) names the lists asked for: they are picked after the aggregate, which leaves one row per list and value.
     """
-    first = cut_lineage(shown.groupBy(*LIST, "value").agg(F.min(F.struct(*AT)).alias("first")))
+    first = shown.groupBy(*LIST, "value").agg(F.min(F.struct(*AT)).alias("first"))
+    first = cut_lineage(first if wanted is None else dealt_join(first, wanted, ["scope", "key"], "value", "left_semi", 4))
     limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("dim"))
     crowded = cut_lineage(first.where(F.col("value") != ANY).groupBy(*LIST).count().where(F.col("count") > limit).select(*LIST))
     at = F.struct("first.us", "first.event_id").alias("first_at")
@@ -78,8 +79,8 @@ def spells(shown: DataFrame, limits: Mapping[str, int], chunk: int = CHUNK) -> D
     if crowded.isEmpty():
         return first.select(*LIST, "value", at, never)
     roomy = first.where(F.col("value") == ANY).unionByName(first.where(F.col("value") != ANY).join(crowded, LIST, "left_anti"))
-    rows = shown.where(F.col("value") != ANY).join(crowded, LIST, "left_semi").select(*LIST, "value", *AT)
-    rows = cut_lineage(position_index(rows, LIST, AT))
+    rows = dealt_join(shown.where(F.col("value") != ANY).select(*LIST, "value", *AT), crowded, LIST, "event_id", "left_semi")
+    rows = cut_lineage(position_index(rows, LIST, AT, width=HOUR))
     added = additions(rows.select(*LIST, "value", "position"), limits, chunk)
     added = cut_lineage(added.join(rows.select(*LIST, "position", F.struct("us", "event_id").alias("first_at")), [*LIST, "position"]))
     # The list is full from its limit on: each further addition pushes out the one `limit` before it.

@@ -86,6 +86,19 @@ def position_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n
     return counted.withColumn(name, F.col("_n_one").cast("long") + 1).drop("_one", "_n_one")
 
 
+def dealt_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: str, how: str, salts: Column | int = 16, table_salts: Column | int | None = None) -> DataFrame:
+    """Join on `keys` whose rows of one key are dealt over `salts` tasks by the digest of `by`.
+
+    `table` holds few rows per key and is repeated once per salt. What follows may group by a part of the keys: a join
+    on the keys alone would be taken as its partitioning, and a whole key would stay in one task.
+    """
+    number = F.lit(salts) if isinstance(salts, int) else salts
+    copies = number if table_salts is None else table_salts
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), number).cast("int"))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def sliced(rows: DataFrame, position: str, chunk: int, keys: Sequence[str]) -> Iterator[DataFrame]:
     """Rows whose `position` (from 1) lies in the first `chunk`, the second and so on, for replays in rounds.
 
