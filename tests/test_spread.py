@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import HOUR, MINUTE, START, frame
-from wardline.operators import features, profiles as P
+from wardline.operators import features, profiles as P, timeline
 from wardline.operators.bounded_lists import CHUNK
 from wardline.operators.timeline import dealt_join, sliced
 from wardline.operators.windows import Spans
@@ -29,7 +29,9 @@ def largest_share(rows):
     return max(counts) / sum(counts)
 
 
-def test_facts_of_one_broad_key_are_dealt_over_tasks(spark, plain_joins):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_facts_of_one_broad_key_are_dealt_over_tasks(spark, plain_joins, monkeypatch, sent):
+    monkeypatch.setattr(timeline, "SENT_KEYS", sent)
     events = frame(spark, [{} for _ in range(400)])
     placed = P.positions(events).localCheckpoint()
     everything = P.ProfilePolicy(entity_minimum=10 ** 6, peer_minimum=10 ** 6)
@@ -46,7 +48,9 @@ def test_a_dealt_join_is_a_join(spark, plain_joins):
         assert sorted(dealt_join(rows, table, ["key"], "id", how, 7).collect(), key=str) == sorted(want.collect(), key=str), how
 
 
-def test_wanted_lists_are_those_of_a_semi_join_before(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_wanted_lists_are_those_of_a_semi_join_before(spark, monkeypatch, sent):
+    monkeypatch.setattr(timeline, "SENT_KEYS", sent)
     events = frame(spark, [{"resource_id": f"r{i % 7}", "entity_id": f"clerk-{i % 3}"} for i in range(40)])
     policy = P.ProfilePolicy(value_limits={**P.ProfilePolicy().value_limits, "resource": 4}, list_chunk=11)
     wanted = spark.createDataFrame([("", "global:organization"), ("", "entity:clerk-1")], "scope string, key string")
