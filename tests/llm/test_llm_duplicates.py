@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wardline.llm import jaccard, substring
+from wardline.llm.common import FILE, ROW, session_conf, source_rows
 from wardline.llm.components import components
 from wardline.llm.jaccard import jaccard_classes, keep_representatives
 from wardline.llm.substring import PASSAGE, repeated_passages, without_passages
@@ -223,3 +225,14 @@ def test_top_k_matches_brute_force(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<double>")
     assert [tuple(r) for r in top_k(few, few["vec_id"] % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert top_k(few.filter("vec_id > 5"), few["vec_id"] % 50 == 0).count() == 0
+
+
+def test_texts_are_found_without_shuffling_them(spark, tmp_path):
+    spark.range(3000, numPartitions=2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).write.parquet(str(tmp_path / "docs"))
+    src = source_rows(spark.read.parquet(str(tmp_path / "docs")), id="doc_id", text="text")
+    places = src.where(F.col(ROW).isin(0, 62, 63, 64, 1023, 1024, 1499)).select(F.col(FILE).alias("f"), F.col(ROW).alias("r"), "text")
+    with session_conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = jaccard.texts_at(src, places.select("f", "r"))
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+        assert sorted(r["text"] for r in found.collect()) == sorted(r["text"] for r in places.collect())
+    assert found.count() == 14

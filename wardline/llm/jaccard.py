@@ -20,6 +20,7 @@ BUCKET = 96  # rows of a bucket that are compared directly
 TILE_ROWS, TILE_ITEMS = 512, 1_000_000  # of a tile of a larger bucket
 DEPTH = 4  # splits of a path at most; larger buckets are then compared tile by tile
 DENSE = 0.7  # a split that leaves this part of the rows together found a group of near copies
+SPAN = 1024  # rows of a file whose places are sent as one row of bits
 MARGIN = 0.22  # over four standard deviations of an estimate from TOKENS tokens
 
 
@@ -243,13 +244,28 @@ def verified_rows(tiled: DataFrame, threshold: float) -> DataFrame:
     return _grouped(tiled).mapInArrow(run, "digest binary, root binary, links bigint")
 
 
-def _sets_of(docs: DataFrame, size: int) -> DataFrame:
+def texts_at(src: DataFrame, places: DataFrame) -> DataFrame:
+    """`text` of the rows of `src` at the places (f, r) of `places`; the texts of the others stay where they are read.
+
+    The places go to all tasks as bits, one row for a file and SPAN of its rows: 128 bytes and the file's name, whatever
+    the number of places in it. No text is shuffled to be found.
+    """
+    word, bit = F.expr(f"CAST(pmod(r, {SPAN}) AS INT) div 64"), F.expr("shiftleft(1L, CAST(pmod(r, 64) AS INT))")
+    bits = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("bigint")) for w in range(SPAN // 64)]
+    spans = places.groupBy("f", F.expr(f"r div {SPAN}").alias("span")).agg(F.array(*bits).alias("bits"))
+    here = src.join(F.broadcast(spans), (F.col(FILE) == F.col("f")) & (F.expr(f"{ROW} div {SPAN}") == F.col("span")))
+    return here.filter(F.expr(f"shiftright(bits[CAST(pmod({ROW}, {SPAN}) AS INT) div 64], CAST(pmod({ROW}, 64) AS INT)) & 1L = 1L")).select("text")
+
+
+def _sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(digest, items) of the texts, digests as in `sketches`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = [shingles(t or "", size).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["digest", "items"])
+            items = [shingles(t or "", size).tobytes() for t in batch.column(0).to_pylist()]
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in items]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(items, pa.binary())], names=["digest", "items"])
 
-    return docs.select("digest", "text").mapInArrow(run, "digest binary, items binary")
+    return texts.mapInArrow(run, "digest binary, items binary")
 
 
 def jaccard_classes(
@@ -277,10 +293,9 @@ def jaccard_classes(
         buckets = write_table(chosen_path_buckets(sets, threshold, recall, seed), "buckets")
         likely = write_table(likely_rows(_tiled(buckets, sets), threshold), "likely")
     kept = sets.select(F.col("digest").alias("d"), F.col("keep.file").alias("f"), F.col("keep.row").alias("r"))
-    picked = write_table(likely.select("digest").distinct().join(kept, F.col("digest") == F.col("d")).select("digest", "f", "r"), "picked")
-    texts = src.join(picked, (F.col(FILE) == F.col("f")) & (F.col(ROW) == F.col("r")))
+    picked = write_table(likely.select("digest").distinct().join(kept, F.col("digest") == F.col("d")).select("f", "r"), "picked")
     with arrow_batches(docs.sparkSession):
-        items = write_table(_sets_of(texts, size), "items")
+        items = write_table(_sets_of(texts_at(src, picked), size), "items")
     full = likely.join(items.select(F.col("digest").alias("i"), "items"), F.col("digest") == F.col("i")).drop("i")
     with arrow_batches(docs.sparkSession, 512):
         found = write_table(verified_rows(full, threshold), "links")
