@@ -8,7 +8,7 @@ from wardline.llm.common import FILE, ROW, session_conf, source_rows
 from wardline.llm.components import components
 from wardline.llm.jaccard import jaccard_classes, keep_representatives
 from wardline.llm.substring import PASSAGE, repeated_passages, without_passages
-from wardline.llm.textkit import rolled, shingles, smallest_labels, words
+from wardline.llm.textkit import mix, rolled, shingles, smallest_labels, spans_rolled, words
 from wardline.llm.topk import top_k
 
 from .conftest import documents, sentence
@@ -236,3 +236,65 @@ def test_texts_are_found_without_shuffling_them(spark, tmp_path):
         assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
         assert sorted(r["text"] for r in found.collect()) == sorted(r["text"] for r in places.collect())
     assert found.count() == 14
+
+
+def brute_runs(rows):
+    """(id, start, stop, removed) of the equal passages, window by window."""
+    holders, marks = {}, {i: rolled(words(t), PASSAGE).tolist() if len(words(t)) >= PASSAGE else [] for i, t, *_ in rows}
+    for i, own in marks.items():
+        for at, h in enumerate(own):
+            holders.setdefault(h, []).append((i, at))
+    out = []
+    for i, own in marks.items():
+        last = None
+        for at, h in enumerate(own):
+            held = sorted(holders[h])
+            state = (tuple(d for d, _ in held), tuple(a - at for _, a in held)) if held[0][0] < held[-1][0] else None
+            if state and state == last:
+                out[-1][2] += 1
+            elif state:
+                out.append([i, at, at + PASSAGE, not (held[0][0] == i and at - held[0][1] < PASSAGE)])
+            last = state
+    return sorted(map(tuple, out))
+
+
+def test_runs_match_windows_put_together_one_by_one(spark, monkeypatch):
+    rng, similar = random.Random(31), substring.similar_runs
+    monkeypatch.setattr(substring, "similar_runs", lambda *given: similar(*given).filter("false"))
+    pool = [sentence(rng, n) for n in (52, 75, 130, 240)]
+    rows = []
+    for i in range(90):
+        parts = [sentence(rng, rng.randrange(1, 60))]
+        for _ in range(rng.randrange(0, 4)):
+            whole = rng.choice(pool).split()
+            cut = sorted(rng.choices(range(len(whole) + 1), k=2)) if rng.random() < .6 else [0, len(whole)]
+            parts += [" ".join(whole[cut[0]:cut[1]]), sentence(rng, rng.choice((0, 0, 1, 30)))]
+        rows.append((i, " ".join(p for p in parts if p), "en", "a"))
+    rows += [(90 + i, rows[i][1], "en", "a") for i in range(0, 60, 7)] + [(200, "", "en", "a"), (201, "word " * 300, "en", "a"), (202, "word " * 180, "en", "a")]
+    found = repeated_passages(documents(spark, rows)).collect()
+    assert sorted((r["id"], r["start"], r["stop"], r["removed"]) for r in found) == brute_runs(rows)
+
+
+def test_windows_of_copies_are_not_shuffled_one_by_one(spark, monkeypatch):
+    rng = random.Random(32)
+    text, written, write = sentence(rng, 400), {}, substring.write_table
+    def noted(df, tag):
+        table = write(df, tag)
+        written[tag] = max(written.get(tag, 0), table.count())
+        return table
+    monkeypatch.setattr(substring, "write_table", noted)
+    found = repeated_passages(documents(spark, [(i, text, "en", "a") for i in range(40)])).collect()
+    assert sorted((r["id"], r["start"], r["stop"], r["removed"]) for r in found) == [(i, 0, 400, i > 0) for i in range(40)]
+    assert max(written.values()) < 40 * 100  # a document has 350 windows
+
+
+def test_hashes_of_many_words_from_one_sum():
+    rng = np.random.default_rng(4)
+    hashes = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for size in (1, 5, 9, 24, 51, 300, 700, 900):
+        n = min(size, 700)
+        out = np.zeros(700 - n + 1, dtype=np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0xD1342543DE82EF95) + hashes[k:700 - n + 1 + k]
+        assert (rolled(hashes, size) == mix(out + np.uint64(n))).all()
+    assert spans_rolled(hashes, np.array([3, 10]), np.array([60, 11])).tolist() == [rolled(hashes[3:60], 57)[0], rolled(hashes[10:11], 1)[0]]

@@ -244,8 +244,8 @@ def verified_rows(tiled: DataFrame, threshold: float) -> DataFrame:
     return _grouped(tiled).mapInArrow(run, "digest binary, root binary, links bigint")
 
 
-def texts_at(src: DataFrame, places: DataFrame) -> DataFrame:
-    """`text` of the rows of `src` at the places (f, r) of `places`; the texts of the others stay where they are read.
+def rows_at(src: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of `src` at the places (f, r) of `places`; the others stay where they are read.
 
     The places go to all tasks as bits, one row for a file and SPAN of its rows: 128 bytes and the file's name, whatever
     the number of places in it. No text is shuffled to be found.
@@ -254,7 +254,12 @@ def texts_at(src: DataFrame, places: DataFrame) -> DataFrame:
     bits = [F.coalesce(F.bit_or(F.when(word == w, bit)), F.lit(0).cast("bigint")) for w in range(SPAN // 64)]
     spans = places.groupBy("f", F.expr(f"r div {SPAN}").alias("span")).agg(F.array(*bits).alias("bits"))
     here = src.join(F.broadcast(spans), (F.col(FILE) == F.col("f")) & (F.expr(f"{ROW} div {SPAN}") == F.col("span")))
-    return here.filter(F.expr(f"shiftright(bits[CAST(pmod({ROW}, {SPAN}) AS INT) div 64], CAST(pmod({ROW}, 64) AS INT)) & 1L = 1L")).select("text")
+    return here.filter(F.expr(f"shiftright(bits[CAST(pmod({ROW}, {SPAN}) AS INT) div 64], CAST(pmod({ROW}, 64) AS INT)) & 1L = 1L")).select(*src.columns)
+
+
+def texts_at(src: DataFrame, places: DataFrame) -> DataFrame:
+    """`text` of the rows of `src` at the places (f, r) of `places`."""
+    return rows_at(src, places).select("text")
 
 
 def _sets_of(texts: DataFrame, size: int) -> DataFrame:
