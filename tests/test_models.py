@@ -235,3 +235,12 @@ def test_training_job(spark, small, tmp_path):
     days, ranking = training.replay_ranking(features.where("split = 'test'"), scoring.load(spark, str(tmp_path / "bundle")))
     assert ranking.count() == days.select("entity_id").distinct().count()
     assert 0 <= training.recalibrate_daily(features, bundle)["entity_behavior_validation"]["false_positive_rate"] <= .01
+
+
+def test_rows_per_class_compute_the_models_once(spark):
+    df, _ = points(spark, n=60)
+    model = C.AttackClassifier("boosted_trees", 1, rounds=1).fit(df, "vector")
+    rows = queries_models.per_class(model.raw(df, "vector"), "raw_probabilities")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "UDF(" in x]
+    assert rows.count() == 60 * len(model.classes) and rows.where("label IS NULL OR probability IS NULL").isEmpty()
