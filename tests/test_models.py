@@ -244,3 +244,10 @@ def test_rows_per_class_compute_the_models_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "UDF(" in x]
     assert rows.count() == 60 * len(model.classes) and rows.where("label IS NULL OR probability IS NULL").isEmpty()
+
+
+def test_quantiles_read_residuals_that_are_written(spark, monkeypatch):
+    df, plans, take = points(spark)[0].withColumn("label", F.lit("normal")), [], reservoir.long_quantiles
+    monkeypatch.setattr(reservoir, "long_quantiles", lambda values, *rest: plans.append(values._jdf.queryExecution().toString()) or take(values, *rest))
+    model = reservoir.fit(df, "vector", reservoir.Reservoir(4, hidden=8))
+    assert model.low < model.high and plans and "ArrowEvalPython" not in plans[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators.scaling import long_quantiles
 from wardline.operators.scores import entity_sequences, normalise, top_residual
+from wardline.session import cut_lineage
 
 
 @dataclass
@@ -129,7 +130,8 @@ def fit(rows: DataFrame, vector: str, model: Reservoir, entity: str = "entity_id
     """Fit on normal rows; histories advance on normal rows only. Needs no minimum history."""
     normal = with_history(rows.where(F.col(label) == "normal"), vector, model, entity, order, width=width)
     fit_decoder(normal, vector, model)
-    errors = with_residuals(normal, vector, model).select(F.lit("residual").alias("name"), F.col("residual").alias("value"))
+    # Written down: the quantiles read them several times, and their null filter would encode every sequence once more.
+    errors = cut_lineage(with_residuals(normal, vector, model).select(F.lit("residual").alias("name"), F.col("residual").alias("value")))
     bounds = long_quantiles(errors, (.5, .9975)).first()
     model.low, model.high = float(bounds["q0"]), float(bounds["q1"])
     return model

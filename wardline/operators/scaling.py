@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.timeline import running_before
+from wardline.session import cut_lineage
 
 # Width between the 10th and the 90th percentile of a unit normal distribution.
 UNIT_RANGE = 2.5631031310892007
@@ -30,8 +31,8 @@ def long_quantiles(values: DataFrame, fractions, keys=("name",), value: str = "v
     neighbours of each quantile are picked by rank, so no group is gathered anywhere.
     """
     keys = list(keys)
-    counts = (values.where(F.col(value).isNotNull()).groupBy(*keys, value)
-              .agg(F.count("*").alias("n")).withColumn("slot", value_slot(value)))
+    counts = cut_lineage(values.where(F.col(value).isNotNull()).groupBy(*keys, value)
+                         .agg(F.count("*").alias("n")).withColumn("slot", value_slot(value)))
     ranked = running_before(counts, keys, [value], {"n": "sum"}, slot="slot", prefix="below_")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("count"))
     placed = ranked.join(totals, keys)
