@@ -1,4 +1,4 @@
-"""What large tables leave on disk: shuffle files, facts nobody asks for."""
+"""What large tables leave on disk: shuffle files, facts nobody asks for and values no quantile needs."""
 
 import time
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import HOUR, START, frame
-from wardline.operators import profiles as P, timeline
+from wardline.operators import profiles as P, scaling, timeline
 from wardline.operators import windows as W
 from wardline.session import cut_lineage, made_tables, release
 
@@ -78,3 +78,15 @@ def test_sightings_end_with_the_last_event_that_asks(spark, monkeypatch, sent):
     assert timed.where(broad).count() < whole.where(broad).count()
     assert (sorted(map(str, P.novelty_features(events, chosen, timed, policy).collect()))
             == sorted(map(str, P.novelty_features(events, chosen, whole, policy).collect())))
+
+
+def test_quantiles_of_columns_count_few_values(spark):
+    rows = spark.range(4000).select(
+        (F.col("id") * 7 % 4000 / 13.0 - 90).alias("wide"), F.when(F.col("id") % 9 > 0, F.col("id") % 4 * 1.0).alias("ties"), F.lit(0.25).alias("one"),
+        (F.col("id") % 100 * 1e-7).alias("narrow"), F.when(F.col("id") % 50 == 0, float("nan")).otherwise(-(F.col("id") * 1.0)).alias("odd"),
+        F.lit(None).cast("double").alias("none"))
+    fractions = (.02, .1, .5, .9, .995)
+    with made_tables() as made:
+        got = sorted(map(str, scaling.column_quantiles(rows, rows.columns, fractions).collect()))
+    assert got == sorted(map(str, scaling.long_quantiles(scaling.unpivot(rows, rows.columns), fractions).collect())) and len(got) == 5
+    assert made[-1].where("name = 'wide'").count() < 1000
