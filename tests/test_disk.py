@@ -1,4 +1,4 @@
-"""What large tables leave on disk: shuffle files, facts nobody asks for and values no quantile needs."""
+"""What large tables leave on disk: shuffle files, facts nobody asks for, values no quantile needs; and the rounds of boosted trees."""
 
 import time
 
@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import HOUR, START, frame
-from wardline.operators import profiles as P, scaling, timeline
+from wardline.operators import classifier, profiles as P, scaling, timeline
 from wardline.operators import windows as W
+from wardline.plans import queries_models
 from wardline.session import cut_lineage, made_tables, release
 
 
@@ -90,3 +91,19 @@ def test_quantiles_of_columns_count_few_values(spark):
         got = sorted(map(str, scaling.column_quantiles(rows, rows.columns, fractions).collect()))
     assert got == sorted(map(str, scaling.long_quantiles(scaling.unpivot(rows, rows.columns), fractions).collect())) and len(got) == 5
     assert made[-1].where("name = 'wide'").count() < 1000
+
+
+def test_boosted_trees_take_all_rounds(spark, small, monkeypatch):
+    sizes = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, rows, vector, label="label"):
+        sizes.append((self.kind, self.rounds))
+        raise Stop
+
+    monkeypatch.setattr(classifier.AttackClassifier, "fit", fit)
+    with pytest.raises(Stop):
+        queries_models.boosted(spark, small)
+    assert sizes == [("boosted_trees", 360)]
